@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import bpe_automaton, simhash_dedup
 
 QUERIES = {
+    "op7_bpe_automaton": bpe_automaton.op7,
     "op8_simhash_near_dedup": simhash_dedup.op8,
 }
 
