@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, simhash_dedup
+from . import bpe_automaton, sharding, simhash_dedup, token_files
 
 QUERIES = {
+    "op5_token_files": token_files.op5,
+    "op6_virtual_slots": sharding.op6,
     "op7_bpe_automaton": bpe_automaton.op7,
     "op8_simhash_near_dedup": simhash_dedup.op8,
 }
