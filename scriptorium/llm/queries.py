@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, quality_crf, sharding, simhash_dedup, token_files
+from . import bpe_automaton, language_id, quality_crf, sharding, simhash_dedup, token_files
 
 QUERIES = {
+    "op9_kneser_ney_language": language_id.op9,
     "op3_quality_crf": quality_crf.op3,
     "op5_token_files": token_files.op5,
     "op6_virtual_slots": sharding.op6,
