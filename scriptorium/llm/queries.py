@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, decontaminate, language_id, quality_crf, sharding, simhash_dedup, token_files
+from . import bpe_automaton, decontaminate, language_id, pii, quality_crf, sharding, simhash_dedup, token_files
 
 QUERIES = {
+    "op4_weak_supervision_pii": pii.op4,
     "op2_simhash_decontamination": decontaminate.op2,
     "op9_kneser_ney_language": language_id.op9,
     "op3_quality_crf": quality_crf.op3,
