@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, decontaminate, language_id, pii, quality_crf, sharding, simhash_dedup, token_files
+from . import backoff_lm, bpe_automaton, decontaminate, language_id, pii, quality_crf, sharding, simhash_dedup, token_files
 
 QUERIES = {
+    "op1_stupid_backoff_lm": backoff_lm.op1,
     "op4_weak_supervision_pii": pii.op4,
     "op2_simhash_decontamination": decontaminate.op2,
     "op9_kneser_ney_language": language_id.op9,
@@ -15,4 +16,6 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash_dedup.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_stupid_backoff_lm": backoff_lm.SQL,
+}
