@@ -175,6 +175,12 @@ def automaton(path: str) -> BpeAutomaton:
     return BpeAutomaton(path)
 
 
+@functools.lru_cache(maxsize=1)
+def kept_pieces(path: str) -> tuple[PieceCache, BpeAutomaton]:
+    auto = automaton(path)
+    return PieceCache(lambda text: array("i", auto.encode(text)).tobytes()), auto
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -190,23 +196,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     """
 
     def run(batches):
-        auto = automaton(path or vocabulary_path())
+        cache, auto = kept_pieces(path or vocabulary_path())
         shown = [str(i).encode() for i in range(max(auto.labels) + 1)].__getitem__
         label = [auto.labels.get(i, b"") for i in range(max(auto.labels) + 1)].__getitem__
 
-        def encode(text):
-            return array("i", auto.encode(text)).tobytes()
-
-        def join(parts):
-            ids = array("i", b"".join(parts))
+        def row(text):
+            ids = array("i", cache.encode(text))
             decoded = b"".join(map(label, ids)).decode("utf-8", "replace").encode()
-            row = (len(ids), hashlib.sha256(b",".join(map(shown, ids))).hexdigest(), hashlib.sha256(decoded).hexdigest())
-            return (*row, ids) if keep_ids else row
+            return len(ids), hashlib.sha256(b",".join(map(shown, ids))).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
 
-        cache = PieceCache(encode, join)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
         for batch in batches_of(batches):
-            rows = [cache.encode(t or "") for t in batch.column("text").to_pylist()]
+            rows = [row(t.as_py() or "") for t in batch.column("text")]
             columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(4 if keep_ids else 3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 1 + len(columns)])
 

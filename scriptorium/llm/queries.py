@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import backoff_lm, bpe_automaton, decontaminate, language_id, pii, quality_crf, sharding, simhash_dedup, token_files
+from . import backoff_lm, bpe_automaton, decontaminate, language_id, pii, quality_crf, repeats, sharding, simhash_dedup, token_files
 
 QUERIES = {
+    "op10_difference_cover_repeats": repeats.op10,
     "op1_stupid_backoff_lm": backoff_lm.op1,
     "op4_weak_supervision_pii": pii.op4,
     "op2_simhash_decontamination": decontaminate.op2,

@@ -55,18 +55,15 @@ def _tokenizer(path: str):
     return out
 
 
-def encoder(path: str) -> PieceCache:
-    """Texts to the bytes of unsigned 32-bit ids, by the tokenizers library."""
-    tokenizer = _tokenizer(path)
-    return PieceCache(lambda t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes(), b"".join)
-
-
 def id_width(path: str) -> int:
     return 2 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def serialized(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> PieceCache:
+    """Texts to the bytes of ids of ``id_width(path)`` bytes each, by the tokenizers library."""
+    tokenizer, kind = _tokenizer(path), "H" if id_width(path) == 2 else "I"
+    return PieceCache(lambda text: array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -127,7 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
     chosen = rows.where(F.length("text").between(1, DICTIONARY_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)
     keep, width = encoder(path), id_width(path)
     samples = [keep.encode(r[0]) for r in chosen.select("text").collect()]
-    dictionary = train_dictionary([serialized(s, width) for s in samples])
+    dictionary = train_dictionary(samples)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     spark.createDataFrame([(bytearray(digest), bytearray(dictionary))], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
@@ -142,9 +139,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = keep.encode(text.as_py() or "") + END_ID.to_bytes(4, "little")
-                frame = press.compress(serialized(ids, width))
-                held.append((doc_id, len(ids) // 4, frame))
+                ids = keep.encode(text.as_py() or "") + END_ID.to_bytes(width, "little")
+                frame = press.compress(ids)
+                held.append((doc_id, len(ids) // width, frame))
                 size += len(frame) + 25
                 if size >= BLOCK_BYTES:
                     yield packed()

@@ -26,31 +26,38 @@ def pieces(text: str) -> list[str] | None:
 
 
 class _Kept(dict):
-    def __init__(self, encode: Callable[[str], object], before: str):
+    def __init__(self, encode: Callable[[str], bytes], before: str):
         self.encode, self.before = encode, before
 
-    def __missing__(self, piece: str):
-        out = self[piece] = self.encode(self.before + piece)
+    def __missing__(self, piece: str) -> bytes:
+        # A mark after a letter is a word of its own, so the rest may be known already.
+        if piece[-1:] in _MARKS and piece[-2:-1].isalpha():
+            out = self[piece[:-1]] + self.encode(piece[-1])
+        else:
+            out = self.encode(self.before + piece)
+        self[piece] = out
         return out
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 class PieceCache:
-    """What ``encode`` gives for a text, from kept pieces where that is safe.
+    """The bytes that ``encode`` gives for a text, from kept pieces where that is safe.
 
-    ``join`` puts together the values of the pieces of one text.  Beyond
-    ``most`` pieces all are dropped and kept anew.
+    Beyond ``most`` pieces all are dropped and kept anew.  An instance serves a
+    worker process, over all its tasks.
     """
 
-    def __init__(self, encode: Callable[[str], object], join: Callable[[list], object], most: int = 500_000):
-        self.encode_whole, self.join, self.most = encode, join, most
+    def __init__(self, encode: Callable[[str], bytes], most: int = 800_000):
+        self.encode_whole, self.most = encode, most
         self.first, self.later = _Kept(encode, ""), _Kept(encode, " ")
 
-    def encode(self, text: str):
+    def encode(self, text: str) -> bytes:
         cut = pieces(text)
         if cut is None:
-            return self.join([self.encode_whole(text)])
+            return self.encode_whole(text)
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        head = self.first[cut[0]]
-        return self.join([head, *map(self.later.__getitem__, cut[1:])])
+        return b"".join([self.first[cut[0]], *map(self.later.__getitem__, cut[1:])])
