@@ -66,8 +66,8 @@ class KneserNey:
         self.grams, self.logp, self.weight = {}, {}, {}
         for k in range(1, ORDER + 1):
             names = sorted({g for t in tables for g in t[0][k]} | {h for t in tables for h in t[1][k]})
-            logp = np.array([[t[0][k].get(g, np.nan) for t in tables] for g in names]).reshape(-1, len(tables))
-            weight = np.array([[t[1][k].get(g, 0.0) for t in tables] for g in names]).reshape(-1, len(tables))
+            logp = np.array([[t[0][k].get(g, np.nan) for t in tables] for g in names]).reshape(len(names), len(tables))
+            weight = np.array([[t[1][k].get(g, 0.0) for t in tables] for g in names]).reshape(len(names), len(tables))
             hashes = row_hashes(point_rows(names, k))
             order = np.argsort(hashes)
             self.grams[k], self.logp[k], self.weight[k] = hashes[order], logp[order], weight[order]

@@ -51,8 +51,8 @@ def first_map(totals: dict[int, int], shards: int, slots: int = SLOTS) -> dict[i
 def rebalanced(old: dict[int, int], totals: dict[int, int], shards: int) -> dict[int, int]:
     """The map edited for new totals or more shards: slots leave only shards above the mean.
 
-    Each heavy shard gives its slots, largest first, as long as both it and the
-    lightest shard stay nearer to the mean than before.
+    Each heavy shard gives slots, largest first, as long as it stays at the mean
+    or above; they go to the lightest shards, and no other slot moves.
     """
     out = {slot: shard if shard < shards else None for slot, shard in old.items()}
     load = [0] * shards

@@ -1,0 +1,396 @@
+"""Each operator against a brute-force version, over odd rows, an empty table and clashing column names."""
+
+import collections
+import math
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from scriptorium.llm import backoff_lm, bpe_automaton, common, components, decontaminate, language_id, pii, quality_crf, repeats, sharding, simhash_dedup, token_files
+
+from .fixtures import SCHEMA, sha, some_docs, words
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(some_docs(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def texts():
+    return [(r[0], r[1] or "") for r in some_docs()]
+
+
+def test_words():
+    import pyarrow as pa
+
+    given = [t for _, t in texts()] + ["\x1ca\x85b \x0bc", "é" * 5]
+    data, bounds = common.text_buffer(pa.array(given))
+    hashes, first, last, at = common.word_hashes(data, bounds)
+    seen = {}
+    for i, text in enumerate(given):
+        own = [bytes(data[a:b]).decode() for a, b in zip(first[at[i] : at[i + 1]], last[at[i] : at[i + 1]])]
+        assert own == words(text)
+        for word, h in zip(own, hashes[at[i] : at[i + 1]].tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+# 1
+
+def scored(given):
+    lists = [words(t) for _, t in given]
+    total = sum(map(len, lists))
+    counts = [collections.Counter(tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    out = []
+    for (doc_id, _), w in zip(given, lists):
+        own = [collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+        left = lambda g: counts[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
+        found, log = collections.Counter(), []
+        for i in range(len(w)):
+            score = 0.0
+            for n in range(min(3, i + 1), 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if left(g) > 0:
+                    score += math.log10(left(g) / (left(g[:-1]) if n > 1 else total - len(w)))
+                    found[n] += 1
+                    break
+                if n > 1:
+                    score += math.log10(0.4)
+            else:
+                score -= math.log10(total - len(w) + 1)
+                found[0] += 1
+            log.append(score)
+        out.append((doc_id, len(w), found[3], found[2], found[1], found[0], round(sum(log) / len(w), 6) if w else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 22, 20_000])
+def test_backoff(docs, chunk_bytes):
+    for got, want in zip(rows(backoff_lm.scores(docs, chunk_bytes=chunk_bytes)), scored(texts())):
+        assert got[:6] == want[:6] and (got[6] is None) == (want[6] is None) and (got[6] is None or abs(got[6] - want[6]) < 2e-6)
+
+
+def test_backoff_of_nothing(none):
+    assert rows(backoff_lm.scores(none)) == []
+
+
+# 2
+
+def test_multi_index_finds_all_within_radius():
+    rng = np.random.default_rng(1)
+    items = [rng.integers(0, 1 << 63, 30).astype(np.uint64) for _ in range(40)]
+    index = decontaminate.ItemIndex(30, list(range(40)), items)
+    prints = []
+    for p in index.prints:
+        for n in (0, 3, 8, 15, 16, 25):
+            bits = rng.choice(64, n, replace=False)
+            prints.append(p ^ np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64)) if n else p)
+    prints = np.array(prints, np.uint64)
+    wanted = {(i, j) for i in range(len(prints)) for j in range(40) if int(prints[i] ^ index.prints[j]).bit_count() <= decontaminate.RADIUS}
+    assert set(zip(*(x.tolist() for x in index.candidates(prints)))) == wanted
+
+
+def test_decontamination(spark, docs, none):
+    passage = some_docs()[-6][1].split()
+    assert len(passage) > 100
+    text = " ".join(passage[1:61])
+    near = text.replace(passage[30], "changed", 1)
+    bench = spark.createDataFrame([(1, text.upper(), "x"), (2, "nothing like it at all in there", "x"), (3, None, "x"), (4, "", "x"), (5, "one", "x"), (6, "two words", "x")], "item_id long, text string, doc_id string")
+    more = docs.unionByName(spark.createDataFrame([(2000, f"before {near} after", *some_docs()[0][2:])], SCHEMA))
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(more, bench).collect()}
+    assert {k for k in found if k[1] != 5} == {(1007, 1), (1008, 1), (1009, 1), (2000, 1)} and (1003, 5) in found
+    assert found[1007, 1] == 1.0 and 0.8 <= found[2000, 1] < 1.0
+    clean = decontaminate.keep_clean(more, bench.where("item_id <> 5"))
+    assert clean.columns == more.columns and clean.count() == more.count() - 4
+    assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("item_id > 9")).count() == 0
+    assert rows(decontaminate.keep_clean(docs, bench.where("item_id > 9"))) == rows(docs)
+
+
+# 3
+
+def base_of(text):
+    w = words(text)
+    runs = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if runs[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            again += line in seen
+            seen.add(line)
+    failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), again, len(covered), failed
+
+
+def test_quality(spark, docs, none):
+    given = spark.createDataFrame(some_docs(), SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    field = quality_crf.fit(given, labels)
+    found = quality_crf.assess(docs, field)
+    assert sorted([tuple(r)[:7] for r in found.collect()], key=str) == sorted([(i, *base_of(t)) for i, t in texts()], key=str)
+    assert found.where("base_failed and kept").count() == 0
+    kept = quality_crf.keep_good(docs, field)
+    assert kept.columns == docs.columns and kept.count() == found.where("kept").count()
+    assert quality_crf.assess(none, quality_crf.fit(none, labels)).count() == 0
+
+
+def test_viterbi_is_best():
+    rng = np.random.default_rng(5)
+    field = quality_crf.LineField(rng.normal(size=len(quality_crf.FEATURES)), rng.normal(size=(2, 2)))
+    for _ in range(30):
+        masks = rng.integers(0, 1 << 13, rng.integers(1, 8)).tolist()
+
+        def total(labels):
+            return sum(field.score(m) for m, x in zip(masks, labels) if x) + sum(field.step[a, b] for a, b in zip(labels, labels[1:]))  # noqa: B023
+
+        best = max(total([n >> k & 1 for k in range(len(masks))]) for n in range(1 << len(masks)))
+        assert total(field.viterbi(masks)) == pytest.approx(best)
+
+
+def test_field_learns():
+    good, bad = [1 | 512] * 6, [1 | 2 | 8] * 6
+    field = quality_crf.train([(good, 1)] * 20 + [(bad, 0)] * 20)
+    assert field.viterbi(good) == [1] * 6 and field.viterbi(bad) == [0] * 6 and field.viterbi(good + bad) == [1] * 6 + [0] * 6
+
+
+# 4
+
+def test_personal_data(docs, none):
+    weights = pii.fit(docs)
+    found = {r.doc_id: r for r in pii.detect(docs, weights).collect()}
+    r = found[1012]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    text = dict(texts())[1012]
+    spans = [s.split(":") for s in r.spans.split(",")]
+    assert [text[int(a) : int(b)] for _, a, b in spans[:4]] == ["a.b+c@ex-am.co.uk", "10.0.0.255", "4111 1111 1111 1111", "+1 (555) 123-4567"]
+    assert r.base_sha256 == sha(",".join(":".join(s) for s in spans[:4]))
+    assert found[1000].base_sha256 == sha("") and found[1000].spans == ""
+    clean = pii.redacted(docs, weights)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert "[EMAIL]" in clean.where("doc_id = 1012").first().text and clean.where("doc_id = 1000").first().text is None
+    assert pii.detect(none, pii.fit(none)).count() == 0
+
+
+def test_odd_candidates(spark):
+    import hashlib
+    import re
+
+    cases = ["a@b.c_d@e.f", "x@@y.z a@b", "1.2.3.4.5.6.7.8", "300.1.1.1.1", "0000255.1.1.1", "+1234567 +12345678901234567", "4111-1111-1111-1111-", "4" * 5000, "a." * 3000 + "@x.yz", "+" * 100 + "1 2 3 4 5 6 7 8", "é@x.com 😀 1.1.1.1", "@" * 2000, "1 " * 3000]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(s):
+        return sum(v if not i % 2 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(s)))) % 10 == 0
+
+    rules = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)]
+    for r in pii.detect(df, {}).collect():
+        want = ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, cases[r.doc_id]) if ok(m[0]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), cases[r.doc_id][:40]
+
+
+# 5, 7
+
+def ids_of(text):
+    return token_files._tokenizer(bpe_automaton.vocabulary_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    token_files.write_token_files(docs, f"file://{tmp_path}/a")
+    found = token_files.read_token_files(spark, f"file://{tmp_path}/a").collect()
+    wanted = []
+    assert [r.start for r in sorted(found, key=lambda r: r.start)] == np.concatenate([[0], np.cumsum([r.n_tokens for r in sorted(found, key=lambda r: r.start)])[:-1]]).tolist()
+    order = [r.doc_id for r in sorted(found, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda x: -1 if x is None else x)
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in found)
+    for i, t in texts():
+        ids = np.array([*ids_of(t), 0], "<u4")
+        wanted.append((str(i), len(ids), zlib.crc32(ids.tobytes())))
+    assert got == sorted(wanted)
+    block = spark.read.parquet(f"file://{tmp_path}/a/blocks").first()
+    dictionaries = {bytes(r[0]): bytes(r[1]) for r in spark.read.parquet(f"file://{tmp_path}/a/dictionary").collect()}
+    image = token_files.Block(bytes(block.image), dictionaries)
+    by_id = dict(texts())
+    assert image.document_at(1).tolist() == [*ids_of(by_id[image.doc_ids[1]] if image.doc_ids[1] is not None else ""), 0] or image.doc_ids[1] is None
+    token_files.write_token_files(none, f"file://{tmp_path}/b")
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_automaton(docs, none):
+    found = bpe_automaton.encode_documents(docs, keep_ids=True)
+    want = [(i, len(ids_of(t)), sha(",".join(map(str, ids_of(t)))), sha(t), ids_of(t)) for i, t in texts()]
+    assert rows(found) == sorted(want, key=str)
+    assert bpe_automaton.encode_documents(none).count() == 0
+
+
+def test_automaton_on_random_text():
+    import random
+
+    rng, auto = random.Random(7), bpe_automaton.automaton(bpe_automaton.vocabulary_path())
+    cache, _ = bpe_automaton.kept_pieces(bpe_automaton.vocabulary_path())
+    labels = [x.decode("utf-8", "ignore") for x in auto.labels.values()]
+    from array import array
+
+    for _ in range(1500):
+        text = "".join(rng.choice([rng.choice(labels), chr(rng.randrange(1, 0xD000)), rng.choice(" \n.,'s")]) for _ in range(rng.randrange(25)))
+        assert array("i", cache.encode(text)).tolist() == auto.encode(text) == ids_of(text)
+        assert auto.decode(auto.encode(text)) == text
+
+
+# 6
+
+def test_sharding(docs, none):
+    found = sharding.assign(docs).toPandas()
+    want = sorted((str(i), len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts())
+    assert sorted(zip(found.doc_id.map(lambda x: "None" if x != x else str(int(x))), found["size"], found.text_crc32)) == want
+    for _, part in found.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    assert sharding.assign(none).count() == 0
+
+
+def test_rebalancing_moves_little():
+    totals = {s: 1000 + s % 17 for s in range(4096)}
+    old = sharding.first_map(totals, 16, 4096)
+    new = sharding.rebalanced(old, totals, 17)
+    moved = [s for s in old if old[s] != new[s]]
+    load = collections.Counter()
+    for s, shard in new.items():
+        load[shard] += totals[s]
+    assert all(new[s] == 16 for s in moved) and len(moved) < 4096 / 16 and max(load.values()) < 1.08 * min(load.values())
+    assert sharding.rebalanced(old, totals, 16) == old
+    assert set(sharding.rebalanced(old, totals, 12).values()) == set(range(12))
+
+
+# 8
+
+def fingerprint(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    w = words(w)
+    runs = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def grouped(ids, prints):
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[root(i)] = min(least.get(root(i), x), x)
+    return [least.get(root(i)) for i in range(len(ids))]
+
+
+def test_near_duplicates(docs, none):
+    ids, prints = [i for i, _ in texts()], [fingerprint(t) for _, t in texts()]
+    want = sorted(zip(ids, [f"{p:016x}" for p in prints], grouped(ids, prints)), key=str)
+    found = simhash_dedup.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    assert rows(found) == want
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and simhash_dedup.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [20_000, 12])
+def test_links_span_dense_groups(spark, bucket):
+    rng = np.random.default_rng(2)
+    prints = []
+    for _ in range(30):
+        center = int(rng.integers(0, 1 << 63))
+        for _ in range(20):
+            prints.append(center ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)))
+    prints = sorted(set(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    links = components.connected_components(simhash_dedup.fingerprint_links(df, bucket=bucket))
+    root = {r.node: r.root for r in links.collect()}
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for s, x in zip(signed, grouped(list(range(len(prints))), prints)):
+        got[root.get(s, s)].add(s)
+        want[x].add(s)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_golay_keys_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 63, 1).astype(np.uint64)
+        b = a ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 4, replace=False).astype(np.uint64))
+        keys = [simhash_dedup.fuzzy_keys(x) for x in (a, b)]
+        own = set(keys[0][0][keys[0][2]].tolist())
+        assert own & set(keys[1][0].tolist())
+
+
+# 9
+
+def test_kneser_ney_sums_to_one():
+    counts = {"a": collections.Counter({"abca": 3, "bcab": 2, "cabc": 2, "abcb": 1}), "b": collections.Counter({"xxxa": 1, "xxab": 1})}
+    model = language_id.KneserNey(counts)
+    letters = "abc"
+    for lang in range(2):
+        total = 0.0
+        for c in letters:
+            points = np.array([ord(x) for x in "bca" + c], np.uint64)[None, :]
+            parts = {k: language_id.row_hashes(points[:, 4 - k :]) for k in range(1, 5)}
+            contexts = {k: language_id.row_hashes(points[:, 3 - k : 3]) for k in range(1, 4)}
+            total += math.exp(model._levels(parts, contexts, 4)[0, lang])
+        unseen = math.exp(model._levels({k: np.array([k], np.uint64) for k in range(1, 5)}, {k: language_id.row_hashes(np.array([[ord(x) for x in "bca"]], np.uint64)[:, 3 - k :]) for k in range(1, 4)}, 4)[0, lang])
+        assert total + unseen == pytest.approx(1.0, abs=1e-9)
+
+
+def test_language(spark, docs, none):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(base)
+    found = language_id.identify(base, model).join(base.select("doc_id", "lang"), "doc_id").toPandas()
+    held = found[found.held_out]
+    assert len(held) and (held.lang_pred == held.lang).mean() > 0.95 and found.score.between(0, 1).all()
+    assert (found.held_out == found.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    odd = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert odd[1000].lang_pred == odd[1001].lang_pred == odd[1002].lang_pred == "und" and odd[1003].lang_pred in model.languages
+    assert language_id.identify(docs, language_id.fit(none)).where("lang_pred <> 'und'").count() == 0
+
+
+# 10
+
+def test_difference_cover():
+    for q in (2, 3, 5, 17):
+        cover, v = repeats.difference_cover(q)
+        assert len(cover) == q + 1 and {(int(a) - int(b)) % v for a in cover for b in cover} == set(range(v))
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 22, 30_000])
+@pytest.mark.parametrize("span, q", [(400, 17), (40, 5)])
+def test_repeats(docs, none, span, q, chunk_bytes):
+    given = [(i, t.encode()) for i, t in texts()]
+    seen = collections.Counter(b[k : k + span] for _, b in given for k in range(len(b) - span + 1))
+    want = []
+    for i, b in given:
+        gone = bytearray(len(b))
+        for k in range(len(b) - span + 1):
+            if seen[b[k : k + span]] > 1:
+                gone[k : k + span] = b"\1" * span
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        runs = sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone))
+        want.append((i, len(b), sum(gone), runs, __import__("hashlib").sha256(kept).hexdigest()))
+    assert rows(repeats.without_repeats(docs, span, q, chunk_bytes)) == sorted(want, key=str)
+    assert repeats.without_repeats(none).count() == 0
