@@ -229,19 +229,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, buc
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, all its columns kept.
-
-    The row of the least doc_id stays.  Rows that share a doc_id are one
-    document.  Rows with a null doc_id can't be named as anything's copy: they
-    take part in no group and stay.
-    """
-    named = docs.where("doc_id is not null")
-    stay = near_duplicates(named, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = named.join(stay, F.col("doc_id").cast("long") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
 def op8(spark, sf_dir):
     from .common import documents
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scriptorium.llm import backoff_lm, bpe_automaton, common, components, decontaminate, language_id, pii, quality_crf, repeats, sharding, simhash_dedup, token_files
+from scriptorium.llm import backoff_lm, bpe_automaton, common, components, decontaminate, language_id, pii, quality_crf, repeats, sharding, similar_docs, simhash_dedup, token_files
 
 from .fixtures import SCHEMA, sha, some_docs, words
 
@@ -307,8 +307,19 @@ def test_near_duplicates(docs, none):
     want = sorted(zip(ids, [f"{p:016x}" for p in prints], grouped(ids, prints)), key=str)
     found = simhash_dedup.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
     assert rows(found) == want
-    kept = simhash_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and simhash_dedup.near_duplicates(none).count() == 0
+    assert simhash_dedup.near_duplicates(none).count() == 0
+
+
+def test_similar_documents(spark, docs, none):
+    words = [f"w{i}" for i in range(200)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    given = [(1, changed()), (2, changed(50)), (3, changed(50, 120)), (4, changed(*range(0, 200, 9))), (5, changed().upper()), (6, None), (7, " "), (8, "few words"), (9, "few words"), (None, changed())]
+    df = spark.createDataFrame([(*r, *some_docs()[0][2:]) for r in given], SCHEMA)
+    kept = similar_docs.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 4, 6, 8, None}
+    assert similar_docs.keep_one(none).count() == 0 and similar_docs.similarity(b"a b c d e f", b"a b c d e g") == 1 / 3
+    ids = [r.doc_id for r in similar_docs.keep_one(docs).collect()]
+    assert 1006 not in ids and ids.count(None) == 2
 
 
 @pytest.mark.parametrize("bucket", [20_000, 12])
