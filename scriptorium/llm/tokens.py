@@ -25,39 +25,55 @@ def pieces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 class _Kept(dict):
-    def __init__(self, encode: Callable[[str], bytes], before: str):
-        self.encode, self.before = encode, before
+    """Pieces after ``before`` and their encodings; ``bare`` keeps those that follow nothing."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str, bare: _Kept | None = None):
+        self.encode, self.before, self.bare = encode, before, self if bare is None else bare
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """Start anew; what was kept stays at hand until the next time."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        # A mark after a letter is a word of its own, so the rest may be known already.
-        if piece[-1:] in _MARKS and piece[-2:-1].isalpha():
-            out = self[piece[:-1]] + self.encode(piece[-1])
+        if (known := self.older.pop(piece, None)) is not None:
+            self[piece] = known
+            return known
+        if "\n" in piece and "\n\n" not in piece and len(piece) > 1:
+            # A single line feed is a word of its own, and the next word starts without a space.
+            head, *lines = piece.split("\n")
+            out = self[head] + b"".join([self.bare["\n"] + self.bare[line] for line in lines])
+        elif piece[-1:] in _MARKS and piece[-2:-1].isalpha():
+            # So is a mark after a letter; the rest may be known already.
+            out = self[piece[:-1]] + self.bare[piece[-1]]
         else:
             out = self.encode(self.before + piece)
         self[piece] = out
         return out
 
 
-_MARKS = frozenset(".,;:!?")
-
-
 class PieceCache:
     """The bytes that ``encode`` gives for a text, from kept pieces where that is safe.
 
-    Beyond ``most`` pieces all are dropped and kept anew.  An instance serves a
-    worker process, over all its tasks.
+    Beyond ``most`` pieces those that have not been used since the last time go.
+    An instance serves a worker process, over all its tasks.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 800_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 700_000):
         self.encode_whole, self.most = encode, most
-        self.first, self.later = _Kept(encode, ""), _Kept(encode, " ")
+        self.first = _Kept(encode, "")
+        self.later = _Kept(encode, " ", self.first)
 
     def encode(self, text: str) -> bytes:
         cut = pieces(text)
         if cut is None:
             return self.encode_whole(text)
         if len(self.first) + len(self.later) > self.most:
-            self.first.clear()
-            self.later.clear()
+            self.first.age()
+            self.later.age()
         return b"".join([self.first[cut[0]], *map(self.later.__getitem__, cut[1:])])
