@@ -6,6 +6,11 @@ each document.  A document is scored by the counts of all others (its own
 occurrences are taken off), so backing off has its meaning although the model
 is the corpus itself.
 
+Most n-grams occur once in the corpus, and then nowhere else than in their
+document.  A first pass finds them by the leading bits of their hashes, as many
+as keep chance meetings rare at the corpus's size; only n-grams that share those
+bits with another occurrence are counted by their whole hashes.
+
 For the word at place i with the longest context there is: if the n-gram occurs
 elsewhere its score is its count over that of its context; else ``ALPHA`` times
 the score with a shorter context; a word alone scores its count over the number
@@ -55,18 +60,40 @@ def scores(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk
     empty table gives none.
     """
     docs, chunks = chunked(documents, chunk_bytes)
+    # 64 slots a byte of text and more: few n-grams share theirs with another.
+    bits = min(64, 26 + max(0, (chunks * chunk_bytes).bit_length() - 20))
 
-    def ask(key, table):
-        keys, whole, words = gram_keys(table.column("text"), order)
+    def known_grams(column):
+        keys, whole, words = gram_keys(column, order)
         known, counts = distinct(np.concatenate([k[ok] for k, ok in zip(keys, whole)]))
-        return run_rows(key[0].as_py(), 1, chunks, known, counts.astype(np.uint32), total=int(words[-1]))
+        return keys, whole, words, known, counts
+
+    def first(key, table):
+        *_, words, known, counts = known_grams(table.column("text"))
+        short, new = leading(known)
+        at = np.flatnonzero(new)
+        many = np.add.reduceat(counts, at) if len(at) else counts
+        return run_rows(key[0].as_py(), 1, chunks, short[at] << np.uint64(64 - bits), many.astype(np.uint32), total=int(words[-1]))
+
+    def leading(known):
+        short = known >> np.uint64(64 - bits)
+        return short, np.concatenate([[True], short[1:] != short[:-1]]) if len(short) else np.zeros(0, bool)
+
+    def recurring(known, answers):
+        _, new = leading(known)
+        return answers_of(answers, 1, np.uint8)[np.cumsum(new) - 1] > 0
+
+    def second(key, table, answers):
+        *_, known, counts = known_grams(table.column("text"))
+        again = recurring(known, answers)
+        return run_rows(key[0].as_py(), 2, chunks, known[again], counts[again].astype(np.uint32))
 
     def score(table, answers):
         names = ["doc_id", "n_words", *(f"n_found_{n}" for n in range(order, 0, -1)), "n_unseen", "score"]
-        keys, whole, words = gram_keys(table.column("text"), order)
-        known, _ = distinct(np.concatenate([k[ok] for k, ok in zip(keys, whole)]))
-        counts = answers_of(answers, 1, np.int64)
-        total = answers.column("total")[0].as_py() if answers.num_rows else 0
+        keys, whole, words, known, _ = known_grams(table.column("text"))
+        counts = np.ones(len(known), np.int64)
+        counts[recurring(known, answers)] = answers_of(answers, 2, np.uint64).astype(np.int64)
+        total = max([0, *(t for t, n in zip(answers.column("total").to_pylist(), answers.column("round").to_pylist()) if n == 1)])
         text, n_words = owner(words), np.diff(words)
         size = len(text)
         elsewhere = [np.zeros(size, np.int64) for _ in range(order)]
@@ -98,10 +125,11 @@ def scores(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk
         levels = [per_text((level == n).astype(np.int64)) for n in (*range(order, 0, -1), 0)]
         return pa.table([table.column("doc_id"), pa.array(n_words), *map(pa.array, levels), pa.array(mean, pa.float64())], names)
 
-    requests = docs.groupBy("chunk").applyInArrow(ask, RUN)
-    answers = answered(requests, (np.uint32,), sums, np.int64)
+    grouped = docs.groupBy("chunk")
+    one = answered(grouped.applyInArrow(first, RUN), (np.uint32,), lambda keys, counts: sums(keys, counts) > 1, np.uint8)
+    two = answered(grouped.cogroup(one.groupBy("chunk")).applyInArrow(second, RUN), (np.uint32,), sums, np.uint64)
     schema = "doc_id long, n_words long, " + "".join(f"n_found_{n} long, " for n in range(order, 0, -1)) + "n_unseen long, score double"
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+    return grouped.cogroup(one.unionAll(two).groupBy("chunk")).applyInArrow(score, schema)
 
 
 def op1(spark, sf_dir):

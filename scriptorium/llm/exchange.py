@@ -5,7 +5,7 @@ hashes of a chunk, what all chunks hold of them: each chunk sends a sorted run o
 its hashes to every bucket (a range of hash values), a bucket merges the runs
 and answers each chunk in the order of its run.  That is the relational plan
 (explode, count by key, join back) in columns: one row carries a whole run, a
-hash costs some six bytes on the way and an answer about one.  A key that every
+hash costs some six bytes on the way and an answer a part of one.  A key that every
 document holds reaches a bucket once for each chunk, already counted.
 
 The shuffle of documents into chunks is one exchange that all passes of a query
@@ -15,10 +15,12 @@ runs become short, rows approach one for each few hashes, as a plain shuffle has
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,41 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that the shuffle's codec drops those that are zero."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    """Unsigned integers as bytes of equal weight together, the zero ones left out, each compressed for its own entropy."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize) if len(values) else np.zeros((0, 1), np.uint8)
+    used = int(-(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([used]) + _compressor().compress(raw[:, :used].T.tobytes())
 
 
-def unplaned(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind)[:, 0] if data else np.zeros(0, kind)
+def unplaned(data: bytes, n: int, kind) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    used = data[0]
+    out[:, :used] = np.frombuffer(_decompressor().decompress(data[1:]), np.uint8).reshape(used, n).T
+    return out.view(kind)[:, 0]
+
+
+@functools.lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1, write_content_size=True)
+
+
+@functools.lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def packed_columns(*columns: np.ndarray) -> bytes:
+    parts = [planes(c) for c in columns]
+    return len(columns[0]).to_bytes(8, "little") + b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unpacked_columns(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for kind in kinds:
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(unplaned(data[at + 8 : at + 8 + size], n, kind))
+        at += 8 + size
+    return out
 
 
 def run_rows(chunk: int, number: int, buckets: int, keys: np.ndarray, *columns: np.ndarray, total: int = 0) -> pa.Table:
@@ -52,20 +82,14 @@ def run_rows(chunk: int, number: int, buckets: int, keys: np.ndarray, *columns:
     for b in range(buckets):
         part = slice(cuts[b], cuts[b + 1])
         own = keys[part]
-        parts = [planes(np.diff(own, prepend=np.uint64(0))), *(planes(np.ascontiguousarray(c[part])) for c in columns)]
-        rows.append(len(own).to_bytes(8, "little") + b"".join(parts))
+        rows.append(packed_columns(np.diff(own, prepend=np.uint64(0)), *(c[part] for c in columns)))
     n = buckets
     return pa.table([pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, chunk), pa.int32()), pa.array(np.full(n, number), pa.int32()), pa.array(rows, pa.binary()), pa.array(np.full(n, total), pa.int64())], ["bucket", "chunk", "round", "runs", "total"])
 
 
 def read_run(data: bytes, kinds: tuple) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
-    for kind in (np.uint64, *kinds):
-        size = n * np.dtype(kind).itemsize
-        out.append(unplaned(data[at : at + size], kind))
-        at += size
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
+    keys, *columns = unpacked_columns(data, (np.uint64, *kinds))
+    return [np.cumsum(keys, dtype=np.uint64), *columns]
 
 
 def answered(requests: DataFrame, kinds: tuple, merge: Callable, answer_kind) -> DataFrame:
@@ -79,7 +103,7 @@ def answered(requests: DataFrame, kinds: tuple, merge: Callable, answer_kind) ->
         sizes = [len(r[0]) for r in runs]
         found = merge(*(np.concatenate(c) for c in zip(*runs))).astype(answer_kind)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [planes(np.ascontiguousarray(found[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        parts = [packed_columns(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         total = sum(table.column("total").to_pylist())
         return pa.table([table.column("bucket"), table.column("chunk"), table.column("round"), pa.array(parts, pa.binary()), pa.array([total] * len(parts), pa.int64())], ["bucket", "chunk", "round", "runs", "total"])
 
@@ -89,7 +113,7 @@ def answered(requests: DataFrame, kinds: tuple, merge: Callable, answer_kind) ->
 def answers_of(table: pa.Table, number: int, kind) -> np.ndarray:
     """A chunk's answers to one round, in the order of its keys."""
     rows = [(b, r) for b, k, r in zip(table.column("bucket").to_pylist(), table.column("round").to_pylist(), table.column("runs")) if k == number]
-    parts = [unplaned(r.as_py(), kind) for _, r in sorted(rows, key=lambda x: x[0])]
+    parts = [unpacked_columns(r.as_py(), (kind,))[0] for _, r in sorted(rows, key=lambda x: x[0])]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
