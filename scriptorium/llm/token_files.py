@@ -121,7 +121,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = rows.where(F.length("text").between(1, DICTIONARY_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)
+    short = rows.where(F.length("text").between(1, DICTIONARY_CHARS) & F.col("doc_id").isNotNull())
+    # Ids alone are ranked, so that no partition sends texts; then few short texts come to the driver.
+    chosen = short.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(DICTIONARY_DOCS)
+    chosen = short.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("_id"), "left_semi").orderBy("doc_id", "text").limit(DICTIONARY_DOCS)
     keep, width = encoder(path), id_width(path)
     samples = [keep.encode(r[0]) for r in chosen.select("text").collect()]
     dictionary = train_dictionary(samples)
