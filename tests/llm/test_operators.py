@@ -322,6 +322,29 @@ def test_similar_documents(spark, docs, none):
     assert 1006 not in ids and ids.count(None) == 2
 
 
+def similar_left(spark, texts):
+    """The ids that stay, and those that a comparison of all pairs leaves."""
+    sets = [similar_docs.runs(t.encode(), 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, t, *some_docs()[0][2:]) for i, t in enumerate(texts)], SCHEMA)
+    return sorted(r.doc_id for r in similar_docs.keep_one(df).collect()), [i for i, r in enumerate(root) if i == r]
+
+
+def test_appended_passages_are_similar(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        words = [f"v{k}x{x}" for x in rng.integers(0, 5000, 200)]
+        texts += [" ".join(words), " ".join(words + [f"n{k}x{x}" for x in range((22, 30, 41, 48, 60)[k % 5])])]
+    found, want = similar_left(spark, texts)
+    assert found == want and len(want) == 72
+
+
 @pytest.mark.parametrize("bucket", [20_000, 12])
 def test_links_span_dense_groups(spark, bucket):
     rng = np.random.default_rng(2)
