@@ -345,6 +345,21 @@ def test_appended_passages_are_similar(spark):
     assert found == want and len(want) == 72
 
 
+@pytest.mark.parametrize("block", [similar_docs.BLOCK, 50])
+def test_similar_pairs_in_dense_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(similar_docs.separate_pairs, "__defaults__", (block,))
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(300):
+        own = list(words)
+        for at in rng.choice(200, rng.integers(2, 5), replace=False):
+            own[at] = f"x{k}y{at}"
+        texts.append(" ".join(own))
+    found, want = similar_left(spark, texts)
+    assert found == want and len(want) > 10
+
+
 @pytest.mark.parametrize("bucket", [20_000, 12])
 def test_links_span_dense_groups(spark, bucket):
     rng = np.random.default_rng(2)
