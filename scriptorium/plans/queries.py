@@ -164,6 +164,16 @@ def wer_turns(spark, sf_dir):
     return rows.select("conv_id", "turn", metrics.error_rate(F.col("a"), F.col("b")).alias("wer"))
 
 
+@query()
+def wer_whole_turns(spark, sf_dir):
+    """``wer_turns`` over all tokens of both turns."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("b"))
+    rows = rows.withColumn("a", F.lag("b").over(Window.partitionBy("conv_id").orderBy("turn"))).where("a is not null")
+    return rows.select("conv_id", "turn", metrics.long_error_rate(F.col("a"), F.col("b")).alias("wer"))
+
+
 JUDGED = """m AS (SELECT lang, doc_id, (n_chars % 40) / 100.0::DOUBLE AS wer, 0.5::DOUBLE + (doc_id % 13) / 10.0::DOUBLE AS ratio, length(text) / 20.0::DOUBLE AS expected FROM documents),
 s AS (SELECT lang, ratio, expected FROM m UNION ALL SELECT d.lang, 1.5::DOUBLE, 9.0::DOUBLE FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1),
 q AS (SELECT lang, CASE WHEN count(*) >= 5 THEN median(ratio) END AS median FROM s WHERE expected >= 4 GROUP BY lang),

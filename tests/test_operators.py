@@ -241,3 +241,13 @@ def test_simple_text(spark):
     assert one(spark, text.paragraphs(F.lit("a\n \nb\n\n\nc"))) == ["a", "b", "c"] and one(spark, text.first_line(F.lit(" \n A  b\nc"))) == "A b"
     names = spark.createDataFrame([("Déjà vu!.epub",), ("....txt",)], "n string").select(text.safe_title("n")).collect()
     assert [r[0] for r in names] == ["De-ja-vu", "book"]
+
+
+def test_whole_turns_are_read(spark, tmp_path):
+    from scriptorium.plans import QUERIES
+
+    said = " ".join(f"w{i}" for i in range(12))
+    turns = [(1, 0, said + " one two"), (1, 1, said + " one six"), (1, 2, said), (2, 0, "a"), (2, 1, "")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = QUERIES["wer_whole_turns"](spark, str(tmp_path)).orderBy("conv_id", "turn")
+    assert rows(found) == [(1, 1, 1 / 14), (1, 2, 2 / 14), (2, 1, 1.0)]
