@@ -251,3 +251,13 @@ def test_whole_turns_are_read(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = QUERIES["wer_whole_turns"](spark, str(tmp_path)).orderBy("conv_id", "turn")
     assert rows(found) == [(1, 1, 1 / 14), (1, 2, 2 / 14), (2, 1, 1.0)]
+
+
+def test_number_words_reads_texts(spark, tmp_path):
+    from scriptorium.plans import QUERIES
+
+    docs = [(1, "It cost 3.14 in 1905. " + "Then 21 came. " * 50, "en"), (2, "Их было 21.", "ru"), (3, "Es waren 21.", "de"), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spoken = dict(rows(QUERIES["number_words"](spark, str(tmp_path))))
+    assert spoken == {i: None if t is None else text.spoken(t, lang) for i, t, lang in docs}
+    assert spoken[1].count("twenty-one") == 50 and spoken[2] != docs[1][1] and spoken[3] == docs[2][1]
