@@ -4,17 +4,22 @@ Counts of all word n-grams up to ``ORDER`` are kept in tables partitioned by
 hash, joined to the n-grams of the documents, and their scores are summed for
 each document.  A document is scored by the counts of all others (its own
 occurrences are taken off), so backing off has its meaning although the model
-is the corpus itself.
+is the corpus itself.  The tables are the buckets of ``exchange``: a row carries
+the sorted run of a chunk's distinct n-grams rather than one n-gram.
 
 Most n-grams occur once in the corpus, and then nowhere else than in their
-document.  A first pass finds them by the leading bits of their hashes, as many
+document.  A first round finds them by the leading bits of their hashes, as many
 as keep chance meetings rare at the corpus's size; only n-grams that share those
-bits with another occurrence are counted by their whole hashes.
+bits with another occurrence are counted by their whole hashes in the second,
+which sends the bits that the first left out.
 
 For the word at place i with the longest context there is: if the n-gram occurs
 elsewhere its score is its count over that of its context; else ``ALPHA`` times
 the score with a shorter context; a word alone scores its count over the number
 of words, and an unseen word 1 over that number plus 1.
+
+N-grams are told apart by hashes of 64 bits: of n distinct ones about n / 2**64
+share theirs with another.
 """
 
 from __future__ import annotations
@@ -22,17 +27,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import distinct, documents, grams, mix64, owner, text_buffer, within, word_hashes
-from .exchange import CHUNK_BYTES, RUN, answered, answers_of, chunked, run_rows, sums
+from .common import distinct, documents, grams, mix64, owner, within, word_hashes
+from .exchange import CHUNK_BYTES, DIRECT, RUN, Deal, Leading, answers_of, chunked, sums, unpacked_rows
 
 ORDER = 3
 ALPHA = 0.4
 
 
-def gram_keys(column, order: int):
+def gram_keys(data: np.ndarray, bounds: np.ndarray, order: int):
     """Keys of the n-grams of each length by where they start, which starts are whole, and the words' bounds."""
-    data, bounds = text_buffer(column)
     hashes, _, _, words = word_hashes(data, bounds)
     keys = [mix64(grams(hashes, n) + np.uint64(n)) for n in range(1, order + 1)]
     return keys, [within(words, n, len(hashes)) for n in range(1, order + 1)], words
@@ -51,49 +56,58 @@ def counts_elsewhere(keys: np.ndarray, texts: np.ndarray, known: np.ndarray, cou
     return out
 
 
-def scores(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def whole_counts(bits: Leading, rest, new, counts, shorts, many) -> np.ndarray:
+    """Counts of n-grams by whole hashes, from the second round's columns and those of the first.
+
+    A chunk's n-grams of the second round follow its recurring leading bits in
+    order, ``new`` marking the first of each; a count of 0 means that of the bits.
+    """
+    again = sums(shorts, many) > 1
+    of = np.cumsum(new, dtype=np.int64) - 1
+    return sums(shorts[again][of] | rest, np.where(counts > 0, counts, many[again][of]))
+
+
+def scores(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes: int = CHUNK_BYTES, direct: int = DIRECT) -> DataFrame:
     """(doc_id, n_words, n_found_3, n_found_2, n_found_1, n_unseen, score) for each row of ``documents(doc_id, text)``.
 
     score is the mean base-10 logarithm over the words ``[^\\x20\\x09-\\x0D]+``,
     rounded to 6 places; a text without words, or a null one, has null.
-    Repeated rows count as different documents.  Other columns are ignored; an
-    empty table gives none.
+    Repeated rows count as different documents and may land in different
+    chunks.  A text of any length is scored whole, in the memory of one worker.
+    Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    docs, chunks = chunked(documents, chunk_bytes)
-    # 64 slots a byte of text and more: few n-grams share theirs with another.
-    bits = min(64, 26 + max(0, (chunks * chunk_bytes).bit_length() - 20))
+    docs, chunks, (total,) = chunked(documents, chunk_bytes, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    deal, bits = Deal(chunks, direct), Leading(chunks * chunk_bytes)
 
-    def known_grams(column):
-        keys, whole, words = gram_keys(column, order)
+    def known_grams(table):
+        ids, data, bounds = unpacked_rows(table)
+        keys, whole, words = gram_keys(data, bounds, order)
         known, counts = distinct(np.concatenate([k[ok] for k, ok in zip(keys, whole)]))
-        return keys, whole, words, known, counts
+        return ids, keys, whole, words, known, counts
 
     def first(key, table):
-        *_, words, known, counts = known_grams(table.column("text"))
-        short, new = leading(known)
+        *_, known, counts = known_grams(table)
+        short, new = bits.of(known)
         at = np.flatnonzero(new)
         many = np.add.reduceat(counts, at) if len(at) else counts
-        return run_rows(key[0].as_py(), 1, chunks, short[at] << np.uint64(64 - bits), many.astype(np.uint32), total=int(words[-1]))
-
-    def leading(known):
-        short = known >> np.uint64(64 - bits)
-        return short, np.concatenate([[True], short[1:] != short[:-1]]) if len(short) else np.zeros(0, bool)
+        return deal.sent(key[0].as_py(), 1, short[at], many.astype(np.uint32))
 
     def recurring(known, answers):
-        _, new = leading(known)
-        return answers_of(answers, 1, np.uint8)[np.cumsum(new) - 1] > 0
+        return answers_of(answers, 1, np.uint8)[np.cumsum(bits.of(known)[1]) - 1] > 0
 
     def second(key, table, answers):
-        *_, known, counts = known_grams(table.column("text"))
+        *_, known, counts = known_grams(table)
         again = recurring(known, answers)
-        return run_rows(key[0].as_py(), 2, chunks, known[again], counts[again].astype(np.uint32))
+        known, counts = known[again], counts[again].astype(np.uint32)
+        _, new = bits.of(known)
+        alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
+        return deal.sent(key[0].as_py(), 2, known, bits.rest(known), new.astype(np.uint8), np.where(alone, 0, counts).astype(np.uint32), whole=False)
 
     def score(table, answers):
         names = ["doc_id", "n_words", *(f"n_found_{n}" for n in range(order, 0, -1)), "n_unseen", "score"]
-        keys, whole, words, known, _ = known_grams(table.column("text"))
+        ids, keys, whole, words, known, _ = known_grams(table)
         counts = np.ones(len(known), np.int64)
         counts[recurring(known, answers)] = answers_of(answers, 2, np.uint64).astype(np.int64)
-        total = max([0, *(t for t, n in zip(answers.column("total").to_pylist(), answers.column("round").to_pylist()) if n == 1)])
         text, n_words = owner(words), np.diff(words)
         size = len(text)
         elsewhere = [np.zeros(size, np.int64) for _ in range(order)]
@@ -123,13 +137,15 @@ def scores(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk
         sums_ = per_text(log)
         mean = [round(float(s) / n, 6) if n else None for s, n in zip(sums_, n_words.tolist())]
         levels = [per_text((level == n).astype(np.int64)) for n in (*range(order, 0, -1), 0)]
-        return pa.table([table.column("doc_id"), pa.array(n_words), *map(pa.array, levels), pa.array(mean, pa.float64())], names)
+        return pa.table([ids, pa.array(n_words), *map(pa.array, levels), pa.array(mean, pa.float64())], names)
 
     grouped = docs.groupBy("chunk")
-    one = answered(grouped.applyInArrow(first, RUN), (np.uint32,), lambda keys, counts: sums(keys, counts) > 1, np.uint8)
-    two = answered(grouped.cogroup(one.groupBy("chunk")).applyInArrow(second, RUN), (np.uint32,), sums, np.uint64)
+    asked = deal.relayed(grouped.applyInArrow(first, RUN), (np.uint64, np.uint32))
+    one = deal.answered(asked, (np.uint64, np.uint32), lambda keys, counts: sums(keys, counts) > 1, np.uint8)
+    again = deal.relayed(grouped.cogroup(one.groupBy("sender")).applyInArrow(second, RUN), (np.uint64, np.uint8, np.uint32), whole=False)
+    two = deal.answered(again, (np.uint64, np.uint8, np.uint32), lambda *columns: whole_counts(bits, *columns), np.uint64, whole=False, beside=(asked, (np.uint64, np.uint32)))
     schema = "doc_id long, n_words long, " + "".join(f"n_found_{n} long, " for n in range(order, 0, -1)) + "n_unseen long, score double"
-    return grouped.cogroup(one.unionAll(two).groupBy("chunk")).applyInArrow(score, schema)
+    return grouped.cogroup(one.unionAll(two).groupBy("sender")).applyInArrow(score, schema)
 
 
 def op1(spark, sf_dir):

@@ -19,7 +19,13 @@ sparsest there is, rather than {1, 2} modulo 3.
 Names are 64-bit hashes of the bytes, equal for equal bytes, rather than ranks
 in lexicographic order; equality is all that comparing adjacent prefixes of SPAN
 bytes needs, and it makes recursion on names a lookup of a longer name.
-Everything is judged on the input.  Names travel as described in ``exchange``.
+Everything is judged on the input.  Names travel as described in ``exchange``,
+first by as many leading bits as keep chance meetings rare.
+
+Beside bytes, words: a passage of ``PASSAGE`` words that several documents share
+may have fewer than SPAN bytes.  Word places at a cover (q = 3: 4 of 13) are
+named by the ``PASSAGE - v + 1`` words from there on, and a name that another
+document has too marks its words; every shared passage holds such a name.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_values, distinct, documents, mix64, powers, text_buffer
-from .exchange import CHUNK_BYTES, RUN, answered, answers_of, chunked, run_rows, sums
+from .common import byte_values, distinct, documents, grams, mix64, owner, powers, within, word_hashes
+from .exchange import CHUNK_BYTES, DIRECT, RUN, Deal, Leading, answers_of, chunked, sums, unpacked_rows
 
 SPAN = 400
 FIELD = 17
+PASSAGE = 50
+PASSAGE_FIELD = 3
 _PIECE = 1 << 20
 
 
@@ -75,11 +83,11 @@ def range_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
 class Chunk:
     """The texts of a chunk and what the rounds know of them."""
 
-    def __init__(self, column, span: int, q: int):
+    def __init__(self, table: pa.Table, span: int, q: int):
         cover, v = difference_cover(q)
         if not v < span:
             raise ValueError("the difference cover needs a smaller modulus than the span")
-        self.data, self.bounds = text_buffer(column)
+        self.ids, self.data, self.bounds = unpacked_rows(table)
         self.span, self.v, name = span, v, span - v + 1
         most = int(np.diff(self.bounds).max(initial=0))
         pattern = (np.arange(0, most + 1, v)[:, None] + cover).ravel()
@@ -91,9 +99,10 @@ class Chunk:
         self.names = range_hashes(self.data, self.places, self.places + name)
         self.known, self.counts = distinct(self.names)
 
-    def narrowed(self, flags: np.ndarray) -> None:
-        """Keep the sampled suffixes whose names occur twice, and name them by their surroundings."""
-        keep = flags[np.searchsorted(self.known, self.names)] > 0
+    def narrowed(self, flags: np.ndarray, bits: Leading) -> None:
+        """Keep the sampled suffixes whose names may occur twice, and name them by their surroundings."""
+        again = flags[np.cumsum(bits.of(self.known)[1]) - 1] > 0 if len(self.known) else np.zeros(0, bool)
+        keep = again[np.searchsorted(self.known, self.names)]
         self.places, self.names, self.low, self.high = (x[keep] for x in (self.places, self.names, self.low, self.high))
         self.start, self.stop = np.maximum(self.places - self.v + 1, self.low), np.minimum(self.places + self.span, self.high)
         # The part before the suffix tells surroundings apart that are cut at the ends of a text.
@@ -136,6 +145,38 @@ class Chunk:
         return np.cumsum(marks[:-1]) > 0
 
 
+class Passages:
+    """Word places of a chunk at the cover, and the names of the ``most`` words less the modulus from there on."""
+
+    def __init__(self, chunk: Chunk, most: int, q: int):
+        cover, v = difference_cover(q)
+        if not v < most:
+            raise ValueError("the difference cover needs a smaller modulus than the passage")
+        hashes, _, _, self.words = word_hashes(chunk.data, chunk.bounds)
+        self.size = most - v + 1
+        text = owner(self.words)
+        sampled = np.zeros(v, bool)
+        sampled[cover] = True
+        whole = within(self.words, self.size, len(hashes))
+        self.places = np.flatnonzero(whole & sampled[(np.arange(len(hashes)) - self.words[text])[: len(whole)] % v])
+        self.names = grams(hashes, self.size)[self.places]
+        order = np.lexsort((text[self.places], self.names))
+        names, of = self.names[order], text[self.places][order]
+        each = np.concatenate([[True], (names[1:] != names[:-1]) | (of[1:] != of[:-1])]) if len(names) else np.zeros(0, bool)
+        #: How many documents of the chunk have a name.
+        self.known, self.counts = distinct(names[each])
+
+    def shared(self, flags: np.ndarray) -> np.ndarray:
+        """How many words of each text are under a name that several documents have."""
+        marks = np.zeros(int(self.words[-1]) + 1, np.int32)
+        if len(self.places):
+            places = self.places[flags[np.searchsorted(self.known, self.names)] > 0]
+            np.add.at(marks, places, 1)
+            np.add.at(marks, places + self.size, -1)
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
+        return np.diff(inside[self.words])
+
+
 def twice(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums(names, counts) > 1
 
@@ -157,35 +198,51 @@ def codes_of(names: np.ndarray, wide: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, q: int = FIELD, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row of ``docs(doc_id, text)``.
+def without_repeats(
+    docs: DataFrame, span: int = SPAN, q: int = FIELD, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False, passage: int = PASSAGE, passage_q: int = PASSAGE_FIELD, direct: int = DIRECT
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words[, kept]) for each row of ``docs(doc_id, text)``.
 
     Every byte that a string of ``span`` bytes covers goes if that string also
     starts elsewhere, in the same text or another; a text of fewer bytes, or a
-    null one (no bytes), keeps all.  Repeated rows are different texts and so
-    lose everything from ``span`` bytes on.  Other columns are ignored.
+    null one (no bytes), keeps all.  ``n_shared_words`` counts the words
+    ``[^\\x20\\x09-\\x0D]+`` under names that other rows have too: above 0 for
+    every text that shares a passage of ``passage`` words with another, 0 for
+    one that shares no ``passage - v + 1`` words (38).  Repeated rows are
+    different texts and so lose everything from ``span`` bytes on.  A text of
+    any length is taken whole, in the memory of one worker.  Other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
-    docs, chunks = chunked(docs, chunk_bytes)
+    docs, chunks, _ = chunked(docs, chunk_bytes)
+    deal, bits = Deal(chunks, direct), Leading(chunks * chunk_bytes, 4)
 
     def first(key, table):
-        chunk = Chunk(table.column("text"), span, q)
-        return run_rows(key[0].as_py(), 1, chunks, chunk.known, chunk.counts.astype(np.uint32))
+        chunk = Chunk(table, span, q)
+        short, new = bits.of(chunk.known)
+        at = np.flatnonzero(new)
+        counts = np.add.reduceat(chunk.counts, at) if len(at) else chunk.counts
+        return deal.sent(key[0].as_py(), 1, short[at], counts.astype(np.uint32))
+
+    def passages(key, table):
+        own = Passages(Chunk(table, span, q), passage, passage_q)
+        return deal.sent(key[0].as_py(), 4, own.known, own.counts.astype(np.uint32))
 
     def second(key, table, answers):
-        chunk = Chunk(table.column("text"), span, q)
-        chunk.narrowed(answers_of(answers, 1, np.uint8))
-        return run_rows(key[0].as_py(), 2, chunks, chunk.names[chunk.first], chunk.wide[chunk.first], chunk.kind_counts.astype(np.uint32))
+        chunk = Chunk(table, span, q)
+        chunk.narrowed(answers_of(answers, 1, np.uint8), bits)
+        return deal.sent(key[0].as_py(), 2, chunk.names[chunk.first], chunk.wide[chunk.first], chunk.kind_counts.astype(np.uint32))
 
     def third(key, table, answers):
-        chunk = Chunk(table.column("text"), span, q)
-        chunk.narrowed(answers_of(answers, 1, np.uint8))
+        chunk = Chunk(table, span, q)
+        chunk.narrowed(answers_of(answers, 1, np.uint8), bits)
         names, counts = distinct(chunk.compared(answers_of(answers, 2, np.uint8))[1])
-        return run_rows(key[0].as_py(), 3, chunks, names, counts.astype(np.uint32))
+        return deal.sent(key[0].as_py(), 3, names, counts.astype(np.uint32))
 
     def last(table, answers):
-        chunk = Chunk(table.column("text"), span, q)
-        chunk.narrowed(answers_of(answers, 1, np.uint8))
+        chunk = Chunk(table, span, q)
+        chunk.narrowed(answers_of(answers, 1, np.uint8), bits)
         gone = chunk.removed(answers_of(answers, 2, np.uint8), answers_of(answers, 3, np.uint8))
+        shared = Passages(chunk, passage, passage_q).shared(answers_of(answers, 4, np.uint8))
         counts, spans, digests, texts = [], [], [], []
         for a, b in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist()):
             part = gone[a:b]
@@ -196,17 +253,19 @@ def without_repeats(docs: DataFrame, span: int = SPAN, q: int = FIELD, chunk_byt
             digests.append(hashlib.sha256(kept.tobytes()).hexdigest())
             if keep_text:
                 texts.append(kept.tobytes())
-        columns = [table.column("doc_id"), pa.array(np.diff(chunk.bounds)), pa.array(counts, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        columns = [chunk.ids, pa.array(np.diff(chunk.bounds)), pa.array(counts, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(shared.astype(np.int64))]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"]
         return pa.table([*columns, pa.array(texts, pa.binary())], [*names, "kept"]) if keep_text else pa.table(columns, names)
 
     grouped = docs.groupBy("chunk")
-    one = answered(grouped.applyInArrow(first, RUN), (np.uint32,), twice, np.uint8)
-    two = answered(grouped.cogroup(one.groupBy("chunk")).applyInArrow(second, RUN), (np.uint64, np.uint32), codes_of, np.uint8)
+    counted, paired = (np.uint64, np.uint32), (np.uint64, np.uint64, np.uint32)
+    one = deal.answered(deal.relayed(grouped.applyInArrow(first, RUN), counted), counted, twice, np.uint8)
+    two = deal.answered(deal.relayed(grouped.cogroup(one.groupBy("sender")).applyInArrow(second, RUN), paired), paired, codes_of, np.uint8)
     known = one.unionAll(two)
-    three = answered(grouped.cogroup(known.groupBy("chunk")).applyInArrow(third, RUN), (np.uint32,), twice, np.uint8)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return grouped.cogroup(known.unionAll(three).groupBy("chunk")).applyInArrow(last, schema)
+    three = deal.answered(deal.relayed(grouped.cogroup(known.groupBy("sender")).applyInArrow(third, RUN), counted), counted, twice, np.uint8)
+    four = deal.answered(deal.relayed(grouped.applyInArrow(passages, RUN), counted), counted, twice, np.uint8)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + ", kept binary" * keep_text
+    return grouped.cogroup(known.unionAll(three).unionAll(four).groupBy("sender")).applyInArrow(last, schema)
 
 
 def op10(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, over odd rows, an empty table and clashing column names."""
 
 import collections
+import hashlib
 import math
 import zlib
 
@@ -77,9 +78,9 @@ def scored(given):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 22, 20_000])
-def test_backoff(docs, chunk_bytes):
-    for got, want in zip(rows(backoff_lm.scores(docs, chunk_bytes=chunk_bytes)), scored(texts())):
+@pytest.mark.parametrize("chunk_bytes, direct", [(1 << 22, 1024), (20_000, 1024), (20_000, 4)])
+def test_backoff(docs, chunk_bytes, direct):
+    for got, want in zip(rows(backoff_lm.scores(docs, chunk_bytes=chunk_bytes, direct=direct)), scored(texts())):
         assert got[:6] == want[:6] and (got[6] is None) == (want[6] is None) and (got[6] is None or abs(got[6] - want[6]) < 2e-6)
 
 
@@ -427,10 +428,8 @@ def test_difference_cover():
         assert len(cover) == q + 1 and {(int(a) - int(b)) % v for a in cover for b in cover} == set(range(v))
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 22, 30_000])
-@pytest.mark.parametrize("span, q", [(400, 17), (40, 5)])
-def test_repeats(docs, none, span, q, chunk_bytes):
-    given = [(i, t.encode()) for i, t in texts()]
+def removed(given, span):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) by looking up every string of ``span`` bytes."""
     seen = collections.Counter(b[k : k + span] for _, b in given for k in range(len(b) - span + 1))
     want = []
     for i, b in given:
@@ -440,6 +439,42 @@ def test_repeats(docs, none, span, q, chunk_bytes):
                 gone[k : k + span] = b"\1" * span
         kept = bytes(x for x, g in zip(b, gone) if not g)
         runs = sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone))
-        want.append((i, len(b), sum(gone), runs, __import__("hashlib").sha256(kept).hexdigest()))
-    assert rows(repeats.without_repeats(docs, span, q, chunk_bytes)) == sorted(want, key=str)
+        want.append((i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("chunk_bytes, direct", [(1 << 22, 1024), (30_000, 1024), (30_000, 4)])
+@pytest.mark.parametrize("span, q", [(400, 17), (40, 5)])
+def test_repeats(docs, none, span, q, chunk_bytes, direct):
+    found = repeats.without_repeats(docs, span, q, chunk_bytes, direct=direct)
+    assert [r[:5] for r in rows(found)] == removed([(i, t.encode()) for i, t in texts()], span)
     assert repeats.without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("direct", [1024, 20])
+def test_repeats_over_many_chunks(spark, direct):
+    base = [(r.doc_id, r.text) for r in common.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect()]
+    given = [(i, (t or "")[:3000]) for i, t in base]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    found = repeats.without_repeats(df, chunk_bytes=1000, direct=direct)
+    assert sum(len((t or "").encode()) for _, t in given) > 300_000
+    assert [r[:5] for r in rows(found)] == removed([(i, t.encode()) for i, t in given], 400)
+
+
+def test_shared_passages(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    texts = [prose(rng.integers(60, 300)) for _ in range(80)]
+    for k in range(0, 40, 2):  # passages of 50 words in two documents each
+        passage = prose(50)
+        for t in (texts[k], texts[k + 1]):
+            at = int(rng.integers(0, len(t)))
+            t[at:at] = passage
+    texts[60][5:5] = texts[61][5:42]  # 37 words: too few
+    texts[62] += texts[62]  # within one document only
+    texts.append(texts[0])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in repeats.without_repeats(df, chunk_bytes=5000).collect()}
+    assert {i for i, r in found.items() if r.n_shared_words} == {*range(40), 80} and all(found[i].n_shared_words >= 38 for i in range(40))
+    assert found[0].n_shared_words == len(texts[0]) - (len(texts[0]) - 38) % 13 or found[0].n_shared_words > len(texts[0]) - 13
+    assert found[1].n_removed == 0
