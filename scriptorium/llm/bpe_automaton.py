@@ -12,12 +12,15 @@ share all arcs but the one removed; what is stored is, for every token, the
 arcs removed from its copies and when, and for every token when its arc was
 added and through which left part.  An arc ``t`` leaves a state if no left part
 of ``t`` had been removed before it was used, nor ``t`` itself later; a state
-made by a merge carries the removals of its right part up to that merge.
-Answers are kept in a transition table.
-
-Every prefix of a word has one correct sequence of tokens, so a position of a
-word is reached in one state at most.  Encoding follows arcs from the start of
-the word to its end.  Decoding emits the labels (bytes) of the arcs.
+made by a merge carries the removals of its right part up to that merge.  A
+table of all arcs of all states can't be held (see the README for figures);
+the table of transitions holds those that texts have asked for, up to ``ARCS``.
+
+Every prefix of a word has exactly one correct sequence of tokens, so every
+position of a word is reached by exactly one arc, from an earlier position.
+Encoding steps over the positions once and finds that arc among the tokens that
+end there (a trie of reversed labels lists them); nothing is taken back.
+Decoding emits the labels (bytes) of the arcs.
 """
 
 from __future__ import annotations
@@ -39,6 +42,12 @@ from .tokens import END_OF_TEXT, PieceCache
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _LATIN = regex.compile("[^\x00-ɏ‐-‧]")
 NEVER = 1 << 60
+#: Transitions that a worker holds at most (some 15 MB).
+ARCS = 100_000
+#: Bytes of the beginnings of words whose arcs are held, and how many of these (some 10 MB).
+HEAD, HEADS = 5, 20_000
+#: Encoded pieces that a worker holds at most, and as many older ones.
+KEPT = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,85 +68,89 @@ class BpeAutomaton:
         vocabulary = {bytes(of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         self.labels: dict[int, bytes] = {i: t for t, i in vocabulary.items()} | {i: s.encode() for s, i in self.special.items()}
         self.tokens = vocabulary
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.added: dict[int, int] = {}
+        size = max(self.labels, default=0) + 1
+        #: The parts of each token's merge (-1: a byte) and its time.
+        self.left, self.right, self.added = array("i", [-1]) * size, array("i", [-1]) * size, array("i", [0]) * size
         self.removed: dict[int, int] = {}
         for time, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["model"]["merges"]):
-            self._gadget(time, vocabulary[bytes(of[c] for c in a)], vocabulary[bytes(of[c] for c in b)], vocabulary)
-        self.table: dict[int, bool] = {}
-        self.spines: tuple[dict, dict] = ({}, {})
-        self.reach: dict[bytes, int] = {}
-        for token in vocabulary:
-            self.reach[token[:3]] = max(self.reach.get(token[:3], 2), len(token))
-
-    def _gadget(self, time: int, u: int, v: int, vocabulary: dict[bytes, int]) -> None:
-        w = vocabulary[self.labels[u] + self.labels[v]]
+            self._gadget(time, vocabulary[bytes(of[c] for c in a)], vocabulary[bytes(of[c] for c in b)])
+        self.arcs: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
+        # The trie of reversed labels: the child of a node by a byte, and the token that ends at a node.
+        self.children: dict[int, int] = {}
+        self.ending = array("i", [-1])
+        for label, token in vocabulary.items():
+            node = 0
+            for byte in reversed(label):
+                child = self.children.get(node << 8 | byte)
+                if child is None:
+                    child = self.children[node << 8 | byte] = len(self.ending)
+                    self.ending.append(-1)
+                node = child
+            self.ending[node] = token
+
+    def _gadget(self, time: int, u: int, v: int) -> None:
+        w = self.tokens[self.labels[u] + self.labels[v]]
         self.removed.setdefault(u << 20 | v, time)
-        if w not in self.added:
+        if self.left[w] < 0:
             self.left[w], self.right[w], self.added[w] = u, v, time
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state behind ``state`` has an arc ``token``."""
-        removed = self.removed
-        for t, until in self._spine(state, self.right):
-            for part, used in self._spine(token, self.left):
-                gone = removed.get(t << 20 | part)
+        removed, left, right, added = self.removed, self.left, self.right, self.added
+        until = NEVER
+        while True:
+            part, used = token, NEVER
+            while True:
+                gone = removed.get(state << 20 | part)
                 if gone is not None and gone < until and gone <= used:
                     return False
-        return True
-
-    def _spine(self, token: int, down: dict[int, int]) -> list[tuple[int, int]]:
-        """The token and its outer parts on one side, each with the merge that used it up."""
-        spines = self.spines[down is self.right]
-        if (found := spines.get(token)) is None:
-            found = spines[token] = [(token, NEVER)]
-            t = token
-            while t in down:
-                found.append((down[t], self.added[t]))
-                t = down[t]
-        return found
+                if left[part] < 0:
+                    break
+                used, part = added[part], left[part]
+            if right[state] < 0:
+                return True
+            until, state = added[state], right[state]
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The ids of one word.
-
-        Arcs are followed longest label first.  A position that a path reaches
-        is reached by no other path, so one that leads nowhere is tried once.
-        """
-        tokens, table, reach, n = self.tokens, self.table, self.reach, len(word)
-        if (whole := tokens.get(word)) is not None:
+        """The ids of one word: the arc that reaches each position, and those on the way to the last one."""
+        if (whole := self.tokens.get(word)) is not None:
             return [whole]
-        out: list[int] = []
-        ends = [0]
-        dead: set[int] = set()
-        at = 0
-        while at < n:
-            end = min(n, at + reach.get(word[at : at + 3], 2))
-            state = out[-1] << 20 if out else -1
-            while end > at:
-                token = tokens.get(word[at:end])
-                if token is not None and end not in dead:
-                    if state < 0:
-                        break
-                    key = state | token
-                    arc = table.get(key)
-                    if arc is None:
-                        if len(table) > 1_000_000:
-                            table.clear()
-                        arc = table[key] = self.has_arc(state >> 20, token)
-                    if arc:
-                        break
-                end -= 1
-            if end > at:
-                out.append(token)
-                ends.append(end)
-                at = end
-            else:
-                dead.add(at)
-                out.pop()
-                ends.pop()
-                at = ends[-1]
-        return out
+        children, ending, arcs = self.children, self.ending, self.arcs
+        if len(arcs) > ARCS:
+            arcs.clear()
+        head = word[:HEAD]
+        if (known := self.heads.get(head)) is not None:
+            came, start = known[0].copy(), known[1].copy()
+        else:
+            came, start = [-1], [0]
+        for end in range(len(came), len(word) + 1):
+            at, node = end, 0
+            while True:
+                at -= 1
+                node = children[node << 8 | word[at]]
+                token = ending[node]
+                if token < 0:
+                    continue
+                if not at:
+                    break
+                key = came[at] << 20 | token
+                arc = arcs.get(key)
+                if arc is None:
+                    arc = arcs[key] = self.has_arc(came[at], token)
+                if arc:
+                    break
+            came.append(token)
+            start.append(at)
+            if end == HEAD:
+                if len(self.heads) > HEADS:
+                    self.heads.clear()
+                self.heads[head] = came.copy(), start.copy()
+        out, at = [], len(word)
+        while at:
+            out.append(came[at])
+            at = start[at]
+        return out[::-1]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -178,7 +191,7 @@ def automaton(path: str) -> BpeAutomaton:
 @functools.lru_cache(maxsize=1)
 def kept_pieces(path: str) -> tuple[PieceCache, BpeAutomaton]:
     auto = automaton(path)
-    return PieceCache(lambda text: array("i", auto.encode(text)).tobytes()), auto
+    return PieceCache(lambda text: array("i", auto.encode(text)).tobytes(), KEPT), auto
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -191,8 +204,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of ``docs(doc_id, text)``.
 
     A null text counts as empty: no ids, and the hash of an empty string twice.
-    Each row is encoded whole, by itself, in its own partition; nothing is
-    shuffled.  Repeated rows give repeated results; other columns are ignored.
+    Each row, of any length, is encoded whole, by itself, in its own partition;
+    nothing is shuffled.  Repeated rows give repeated results, ties don't arise,
+    other columns, whatever their names, are ignored, and an empty table gives
+    no rows.
     """
 
     def run(batches):

@@ -3,7 +3,8 @@
 A single space between two characters that are no white space always starts a
 new word of the splitting pattern.  A text whose only white space is single
 spaces and line feeds that don't touch is cut there, and each distinct piece is
-encoded once.  Any other text is encoded whole.  The pieces kept are bounded.
+encoded once.  Any other text is encoded whole.  The pieces kept are bounded in
+number and length, so in bytes: some 160 for each of usual length.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+#: Characters of the longest piece that is kept.
+LONGEST = 64
 END_OF_TEXT = "<|endoftext|>"
 _ASCII_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _WIDE_ODD = re.compile("[\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -41,6 +44,8 @@ class _Kept(dict):
         self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.encode(self.before + piece)
         if (known := self.older.pop(piece, None)) is not None:
             self[piece] = known
             return known
