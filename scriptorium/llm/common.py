@@ -24,8 +24,14 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, as in local tests."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary one of the machine serves a local session;
+    on a cluster executors would each write to their own, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
@@ -51,6 +57,35 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Ids up to this many (8 MB) are sent to every executor; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` joined to ``ids(_id)`` on a column of longs, by broadcast only if the ids are few."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(f"`{column}`").cast("long") == F.col("_id"), how)
+
+
+#: Rows from which on a key counts as hot.
+HOT_ROWS = 1000
+
+
+def hot_joined(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``of(key, n, ...)``, which has one row for each key of at most ``total`` rows, n being how many.
+
+    Keys of more than ``HOT_ROWS`` rows, and more than their ``BROADCAST_IDS``-th
+    part, are broadcast: there are fewer than ``BROADCAST_IDS`` of them whatever
+    the data.  All others are joined by shuffling.
+    """
+    least = max(HOT_ROWS, total // BROADCAST_IDS + 1)
+    hot = of.where(F.col("n") > least)
+    common = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(of.where(F.col("n") <= least), key)
+    return common.unionByName(rest).drop("n")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, whatever case its own are in."""
     have = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, hot_joined, stored
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,9 +14,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps (Kiveris et al., 2014):
     each node hands its larger, then its smaller neighbours to the least one it
     knows, until every node has one link, to its root.  Least neighbours are
-    aggregated before they are joined, so a node with very many links needs no
-    task to hold them.  Each round is a table in the shared folder.  Links of a
-    node to itself and nulls are ignored; a node without links has no row.
+    aggregated before they are joined, and sent to all tasks for nodes with very
+    many links, so no task holds the links of one node.  Each round is a table in
+    the shared folder.  Links of a node to itself and nulls are ignored; a node
+    without links has no row.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     state, before = stored(pairs, "links"), None
@@ -26,10 +27,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = tuple(count)
         both = state.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(state.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.inline(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))).where("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = hot_joined(both, least, "u", 2 * count[0]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = hot_joined(large, least, "hi", 2 * count[0]).select(F.inline(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))).where("hi <> lo").distinct()
         after = stored(small, "links")
         discard(state)
         state = after

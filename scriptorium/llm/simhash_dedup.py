@@ -16,6 +16,7 @@ Fingerprints that share a key are compared exactly.
 Scale: equal fingerprints are one row before keys are made.  A bucket of a key
 emits links that span it, never all its pairs.  A bucket beyond ``BUCKET``
 members is dealt again as pairs of blocks, so that none has to fit one task.
+Fingerprints of very many rows get their component by broadcast.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored, text_bytes
+from .common import batches_of, hot_joined, stored, text_bytes
 from .components import connected_components
 
 RADIUS = 4
@@ -213,20 +214,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, buc
 
     Texts whose fingerprints differ in at most ``radius`` bits are linked;
     component_id is the least doc_id that links reach.  A null, empty or blank
-    text has fingerprint 0, which is linked like any other.  Repeated rows and
-    equal texts share a component.  A null doc_id is never the component's
-    unless all its ids are null.  Other columns are ignored; an empty table
-    gives none.
+    text has fingerprint 0, which is linked like any other; a text of any length
+    counts whole.  Repeated rows and equal texts share a component.  A null
+    doc_id is never the component's unless all its ids are null.  Other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle), "fps")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "fp-reps")
     links = stored(connected_components(fingerprint_links(reps, radius, bucket)).select(F.col("node").alias("fp"), "root"), "roots")
     linked = links.join(reps, "fp")
     roots = linked.groupBy("root").agg(F.min("rep").alias("least"))
     joined = linked.join(roots, "root").select("fp", "least")
-    # A very common fingerprint is dealt over several tasks by the skew join of adaptive execution.
-    of = reps.join(joined, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = stored(reps.join(joined, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"), "components")
+    return hot_joined(fps, of, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def op8(spark, sf_dir):
