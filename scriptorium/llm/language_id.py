@@ -1,15 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 For each language a model of order ``ORDER`` is estimated from character counts
-of at most about ``TRAIN_DOCS`` labelled documents, chosen by a hash of doc_id
-against the language's number of documents.  The models share sorted arrays of
-64-bit n-gram hashes, one for each order, with a column of log-probabilities and
-one of back-off weights for each language, looked up by binary search.
+of at most about ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_CHARS``
+characters (``TRAIN_ALL`` documents over all languages), chosen by a hash of
+doc_id against the language's number of documents.  The models share sorted
+arrays of 64-bit n-gram hashes, one for each order, with a column of
+log-probabilities and one of back-off weights for each language, looked up by
+binary search.
 
 A text's language is the one of lowest cross-entropy a character.  The score is
-its probability in a softmax over languages whose sharpness is fitted on a part
-of the training documents, and a text is rejected if its cross-entropy is
-beyond what nearly all of those documents have.
+its probability in a softmax over languages whose sharpness is fitted on chosen
+documents that the counts have left out, and a text is rejected if its
+cross-entropy is beyond what nearly all of those documents have.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import batches_of, documents, mix64
 
 ORDER = 4
 TRAIN_DOCS = 300
+TRAIN_CHARS = 20_000
+TRAIN_ALL = 20_000
 UNKNOWN = "und"
 REJECT_SIGMAS = 6.0
 
@@ -167,14 +171,31 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> KneserNey:
-    """Models from ``docs(doc_id, text, lang)`` outside the held-out part; rows with nulls are passed over."""
+def training_parts(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[DataFrame, DataFrame] | None:
+    """The documents that are counted, and a fourth as many others for calibration; None without any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    rows = rows.where(F.length("text") <= TRAIN_CHARS)
+    counted = rows.groupBy("lang").count()
+    kinds = counted.count()
+    if not kinds:
+        return None
+    share = F.least(F.lit(1.0), F.lit(1.25 * min(most, TRAIN_ALL / kinds)) / F.col("count"))
+    bounds = counted.select(F.col("lang").alias("_lang"), (share * (1 << 30)).cast("long").alias("_share"))
+    bounds = F.broadcast(bounds) if kinds <= TRAIN_ALL else bounds
+    chosen = rows.join(bounds, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share")).select("doc_id", "text", "lang")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
+    return chosen.where(~apart), chosen.where(apart)
+
+
+def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> KneserNey:
+    """Models from ``docs(doc_id, text, lang)`` outside the held-out part; rows with nulls are passed over.
+
+    Repeated rows count as often as they are there.
+    """
+    parts = training_parts(docs, most)
+    if parts is None:
         return KneserNey({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    chosen, apart = parts
 
     def count(batches):
         counts: dict[str, Counter] = {}
@@ -196,17 +217,18 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> KneserNey:
             found = [model.entropies(t).tolist() if t else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.list_(pa.float64()))], ["lang", "loss"])
 
-    part = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).select("text", "lang")
-    model.calibrate([(r[0], r[1]) for r in part.mapInArrow(losses, "lang string, loss array<double>").collect() if r[1]])
+    model.calibrate([(r[0], r[1]) for r in apart.select("lang", "text").mapInArrow(losses, "lang string, loss array<double>").collect() if r[1]])
     return model
 
 
 def identify(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected, cross_entropy) for each row of ``docs(doc_id, text)``.
 
-    A null text or one without a letter is ``und`` with score 0.  The text alone
-    decides; repeated rows get equal rows; a null doc_id is not held out.
-    Nothing is shuffled, other columns are ignored.
+    A null or empty text or one without a letter is ``und`` with score 0.  The
+    text alone decides, whole whatever its length; of equally good languages the
+    first by name counts; repeated rows get equal rows; a null doc_id is not held
+    out.  Nothing is shuffled; other columns, whatever their names, are ignored;
+    an empty table gives no rows.
     """
 
     def run(batches):

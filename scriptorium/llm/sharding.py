@@ -3,8 +3,10 @@
 A record hashes into one of ``SLOTS`` virtual slots, for good.  Bytes are
 summed per slot, and a map gives each slot a shard.  The map is a small table
 with a version (a row for each slot, whatever the data's size); rebalancing
-writes a new version that moves few slots.  The law that holds is ``bytes``:
-slots of near equal size, dealt largest first to the lightest shard.
+writes a new version that moves few slots.  A table starts with slots dealt out
+evenly, before anything is known of the data (version 1); the bytes of the slots
+then edit it (version 2), so the law that holds is ``bytes``: shards above the
+mean give slots to the lightest.
 """
 
 from __future__ import annotations
@@ -35,17 +37,11 @@ def slot_totals(rows: DataFrame) -> dict[int, int]:
     return {r[0]: int(r[1]) for r in rows.groupBy("virtual_slot").agg(F.sum("size")).collect()}
 
 
-def first_map(totals: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Slots to shards, the largest first to the lightest shard; ties go to the lower number."""
+def even_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """Slots to shards in equal runs."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    load = [(0, s) for s in range(shards)]
-    out = {}
-    for slot in sorted(range(slots), key=lambda s: (-totals.get(s, 0), s)):
-        size, shard = heapq.heappop(load)
-        out[slot] = shard
-        heapq.heappush(load, (size + totals.get(slot, 0), shard))
-    return out
+    return {slot: slot * shards // slots for slot in range(slots)}
 
 
 def rebalanced(old: dict[int, int], totals: dict[int, int], shards: int) -> dict[int, int]:
@@ -82,23 +78,37 @@ def map_table(spark, mapping: dict[int, int], version: int, totals: dict[int, in
     return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, bytes long")
 
 
+def edited_map(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The stored map of ``rows(virtual_slot, size)``: the even one, and its edition by the bytes of the slots."""
+    spark, totals, first = rows.sparkSession, slot_totals(rows), even_map(shards, slots)
+    versions = map_table(spark, first, 1).unionAll(map_table(spark, rebalanced(first, totals, shards), 2, totals))
+    return stored(versions.coalesce(1), "slot-map")
+
+
+def latest(table: DataFrame) -> dict[int, tuple[int, int]]:
+    """(shard, version) of each slot in the map's newest version: a row for each slot."""
+    rows = table.groupBy("virtual_slot").agg(F.max(F.struct("version", "shard")).alias("x")).select("virtual_slot", "x.shard", "x.version").collect()
+    return {r[0]: (r[1], r[2]) for r in rows}
+
+
 def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` with its shard and its place there.
 
     ``slot`` counts the rows of a shard from 0 without gaps: virtual slots in
-    order, and within one by doc_id, size and checksum.  Places come from the
-    rows of each virtual slot, so no task holds more than one virtual slot.
-    Repeated rows get places of their own.  Other columns are ignored; an empty
-    table gives none.
+    order, and within one by doc_id, size and checksum (ties in any order: they
+    are equal rows).  Places come from the rows of each virtual slot, so no task
+    holds more than one virtual slot.  Null and empty texts have size 1.
+    Repeated rows get places of their own, in one virtual slot.  A text of any
+    length is one row.  Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
     spark, rows = docs.sparkSession, sized(docs, slots)
-    found = {r[0]: (int(r[1]), r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
-    totals = {s: x[0] for s, x in found.items()}
-    table = stored(map_table(spark, first_map(totals, shards, slots), 1, totals).coalesce(1), "slot-map")
-    mapping, filled, starts = table.where("version = 1").select("virtual_slot", "shard", "version").collect(), [0] * shards, []
-    for slot, shard, version in sorted(mapping):
+    mapping = latest(edited_map(rows, shards, slots))
+    found = {r[0]: r[1] for r in rows.groupBy("virtual_slot").count().collect()}
+    filled, starts = [0] * shards, []
+    for slot, (shard, version) in sorted(mapping.items()):
         starts.append((slot, shard, filled[shard], version))
-        filled[shard] += found.get(slot, (0, 0))[1]
+        filled[shard] += found.get(slot, 0)
     places = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, shard int, first long, map_version int"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
     return rows.withColumn("place", place).join(places, "virtual_slot").select(

@@ -196,6 +196,66 @@ def test_quality(spark, docs, none):
     assert quality_crf.assess(none, quality_crf.fit(none, labels)).count() == 0
 
 
+def features_of(text):
+    """For each line its words and the set of its features, written out plainly."""
+    out, seen, before = [], set(), None
+    for line in text.split("\n"):
+        parts = re.split("[ \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", line)
+        parts = [x for x in parts if x]
+        size, n, has = max(len(line), 1), len(parts), {"bias"}
+        if words(line) and line in seen:
+            has.add("again")
+        if words(line):
+            seen.add(line)
+        if n:
+            tests = {
+                "shouting": line == line.upper() != line.lower(), "symbols": sum(c in "#*$%&|<>" for c in line) > size / 50, "exclaims": line.count("!") > size / 50, "repeats": n > 4 and len(set(parts)) < n / 2,
+                "table": line.count("|") > 1, "short": n < 4, "sentence": line[-1] in ".!?…\"'»)", "digits": sum(c in "0123456789" for c in line) > size / 5, "legal": any(w.strip(".,:;") in quality_crf.LEGAL for w in line.lower().split()),
+            }
+            has |= {k for k, v in tests.items() if v}
+        if before is None:
+            has.add("first")
+        elif before < 4:
+            has.add("previous short")
+        out.append((n, has))
+        before = n
+    return out
+
+
+def best_labels(scores, step):
+    """The labels of a chain with the greatest sum, by dynamic programming over (sum, labels); ties go to content."""
+    paths = {0: (0.0, []), 1: (scores[0], [])}
+    for k, e in enumerate(scores):
+        if k:
+            paths = {b: max(((paths[a][0] + step[a][b] + e * b, paths[a][1]) for a in (1, 0)), key=lambda x: x[0]) for b in (0, 1)}
+        paths = {b: (t, [*labels, b]) for b, (t, labels) in paths.items()}
+    return max((paths[1], paths[0]), key=lambda x: x[0])[1]
+
+
+def test_kept_against_plain_decoding(spark):
+    """The verdict of every document, from features and decoding written anew."""
+    base = common.documents(spark, "/root/testdata/sf0.01")
+    field = quality_crf.fit(base, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert field.emit.any() and field.step.any()
+    given = [(r.doc_id, r.text) for r in base.select("doc_id", "text").collect()] + [(i, t) for i, t in texts()]
+    good, bad = next(t for _, t in given if t and t.count("\n") > 4), "BUY NOW!!! BUY NOW!!! BUY\n" * 3 + "| a | b | c |\n###\n"
+    given += [(5000, good + "\n" + bad), (5001, bad * 9 + good), (5002, "1" * 300 + " all rights reserved " + "x" * 300)]
+    given = list(enumerate(t for _, t in given))
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.content_share) for r in quality_crf.assess(df, field).collect()}
+    mixed = 0
+    for i, text in given:
+        lines = features_of(text or "")
+        scores = [sum(w for name, w in zip(quality_crf.FEATURES, field.emit) if name in has) for _, has in lines]
+        labels = best_labels(scores, field.step)
+        total = sum(n for n, _ in lines)
+        share = sum(n for (n, _), x in zip(lines, labels) if x) / total if total else 0.0
+        mixed += 0 < sum(labels) < len(labels)
+        kept, found = got[i]
+        assert found == pytest.approx(share) and kept == (not base_of(text or "")[-1] and share >= 0.5)
+    assert mixed > 5
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(5)
     field = quality_crf.LineField(rng.normal(size=len(quality_crf.FEATURES)), rng.normal(size=(2, 2)))
@@ -209,10 +269,30 @@ def test_viterbi_is_best():
         assert total(field.viterbi(masks)) == pytest.approx(best)
 
 
+def test_marginals_are_sums_over_labels():
+    rng = np.random.default_rng(6)
+    step, lengths = rng.normal(size=(2, 2)), (1, 3, 5)
+    score, real = rng.normal(size=(5, 3)), np.arange(5)[:, None] < np.array(lengths)
+    content, pairs = quality_crf.marginals(score * real, step, real)
+    for d, n in enumerate(lengths):
+        weight, inside, steps = 0.0, np.zeros(n), np.zeros((2, 2))
+        for code in range(1 << n):
+            y = [code >> k & 1 for k in range(n)]
+            p = math.exp(sum(score[k, d] for k in range(n) if y[k]) + sum(step[a, b] for a, b in zip(y, y[1:])))
+            weight += p
+            inside += p * np.array(y)
+            for a, b in zip(y, y[1:]):
+                steps[a, b] += p
+        assert content[:n, d] == pytest.approx(inside / weight) and pairs[:, :, d] == pytest.approx(steps / weight)
+
+
 def test_field_learns():
     good, bad = [1 | 512] * 6, [1 | 2 | 8] * 6
     field = quality_crf.train([(good, 1)] * 20 + [(bad, 0)] * 20)
     assert field.viterbi(good) == [1] * 6 and field.viterbi(bad) == [0] * 6 and field.viterbi(good + bad) == [1] * 6 + [0] * 6
+    # Documents of mixed lines: a notice at the end of good ones, prose at the start of bad ones.
+    field = quality_crf.train([(good, 1)] * 20 + [(good + [1 | 1024], 1)] * 5 + [(good[:2] + bad, 0)] * 20 + [([1 | 1024] * 3, 0)] * 20)
+    assert field.step[1, 0] > -2 and field.viterbi(good[:2] + bad) == [1] * 2 + [0] * 6 and field.viterbi(good + [1 | 1024]) == [1] * 6 + [0]
 
 
 # 4
@@ -412,16 +492,30 @@ def test_sharding(docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_shards_are_near_equal(spark):
+    """The law: bytes of shards, and how the edited map differs from the one before."""
+    base = common.documents(spark, "/root/testdata/sf0.1")
+    table = sharding.edited_map(sharding.sized(base), 16)
+    by = {v: dict(part[["virtual_slot", "shard"]].values.tolist()) for v, part in table.toPandas().groupby("version")}
+    assert sorted(by) == [1, 2] and by[1] == sharding.even_map(16) and 0 < sum(by[1][s] != by[2][s] for s in by[1]) < sharding.SLOTS / 4
+    found = sharding.assign(base).toPandas()
+    assert set(found.map_version) == {2} and (found.shard == found.virtual_slot.map(by[2])).all()
+    load = found.groupby("shard")["size"].sum()
+    assert len(load) == 16 and load.max() <= 1.01 * load.min() and load.sum() == found["size"].sum()
+    before = found.groupby(found.virtual_slot.map(by[1]))["size"].sum()
+    assert load.max() - load.min() < before.max() - before.min()
+
+
 def test_rebalancing_moves_little():
     totals = {s: 1000 + s % 17 for s in range(4096)}
-    old = sharding.first_map(totals, 16, 4096)
+    old = sharding.even_map(16, 4096)
     new = sharding.rebalanced(old, totals, 17)
     moved = [s for s in old if old[s] != new[s]]
     load = collections.Counter()
     for s, shard in new.items():
         load[shard] += totals[s]
     assert all(new[s] == 16 for s in moved) and len(moved) < 4096 / 16 and max(load.values()) < 1.08 * min(load.values())
-    assert sharding.rebalanced(old, totals, 16) == old
+    assert sharding.rebalanced(new, totals, 17) == new
     assert set(sharding.rebalanced(old, totals, 12).values()) == set(range(12))
 
 
@@ -560,6 +654,40 @@ def test_kneser_ney_sums_to_one():
         assert total + unseen == pytest.approx(1.0, abs=1e-9)
 
 
+def plain_kneser_ney(counts, size, lang):
+    """log P(text) by the definition: discounted counts of the highest order, kinds of left neighbours below it, interpolated."""
+    tables = {4: counts[lang]}
+    for k in (3, 2, 1):
+        tables[k] = collections.Counter()
+        for g in tables[k + 1]:
+            tables[k][g[1:]] += 1
+    off = {}
+    for k, table in tables.items():
+        ones, twos = sum(c == 1 for c in table.values()), sum(c == 2 for c in table.values())
+        off[k] = ones / (ones + 2 * twos) if ones else 0.5
+
+    def p(gram):
+        k = len(gram)
+        below = p(gram[1:]) if k > 1 else 1 / size
+        after = {g: c for g, c in tables[k].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return below
+        return max(after.get(gram, 0) - off[k], 0) / total + off[k] * len(after) / total * below
+
+    return lambda text: -sum(math.log(p(("   " + text)[i : i + 4])) for i in range(len(text))) / len(text)
+
+
+def test_entropies_against_the_definition():
+    given = {"a": ["abra cadabra", "a cab", "bar a crab"], "b": ["xyzzy plugh", "zyx yx", "a plug"]}
+    counts = {lang: collections.Counter(("   " + t)[i : i + 4] for t in texts for i in range(len(t))) for lang, texts in given.items()}
+    letters = {c for t in sum(given.values(), []) for c in t}
+    model = language_id.KneserNey(counts)
+    for text in ("abra", "a crab bar", "plugh zyx", "qqq", "a", "cab plug", "é😀 a"):
+        want = [plain_kneser_ney(counts, len(letters) + 1, lang)(text) for lang in model.languages]
+        assert model.entropies(text) == pytest.approx(want, rel=1e-5)
+
+
 def test_language(spark, docs, none):
     base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(base)
@@ -572,6 +700,19 @@ def test_language(spark, docs, none):
     assert language_id.identify(docs, language_id.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_calibration_is_apart(spark):
+    """Scores are about as often right as they say, on documents that neither counts nor calibration saw."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.substring("text", 1, 25).alias("text"), "lang")
+    seen, told = language_id.training_parts(base)
+    ids = [{r.doc_id for r in x.select("doc_id").collect()} for x in (seen, told)]
+    assert ids[0] and ids[1] and not ids[0] & ids[1] and not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in ids[0] | ids[1])
+    model = language_id.fit(base)
+    found = language_id.identify(base, model).join(base.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und' and lang is not null").toPandas()
+    assert abs((found.lang_pred == found.lang).mean() - found.score.mean()) < 0.05 and found.rejected.mean() < 0.05
+    strange = spark.createDataFrame([(1, "ζωή και φως των ανθρώπων πάντα"), (2, "zxqj vkwq pqzx jjkq wvxz qqzx")], "doc_id long, text string")
+    assert language_id.identify(strange, model).where("rejected").count() == 2
+
+
 # 10
 
 def test_difference_cover():
