@@ -75,8 +75,8 @@ def joined(parts: Column, rate: Column, pause_ms: int) -> Column:
 
 
 def to_pcm16(samples: Column) -> Column:
-    """Samples in -1..1 as 16-bit integers, cut toward zero."""
-    return F.transform(samples, lambda x: (x * 32767).cast("int").cast("short"))
+    """Samples in -1..1 as 16-bit integers, cut toward zero; floats stay floats on the way."""
+    return F.transform(samples, lambda x: (x * F.lit(32767).cast("float")).cast("int").cast("short"))
 
 
 def from_pcm16(samples: Column) -> Column:

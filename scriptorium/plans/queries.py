@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, loudness, signal, text
 from ..operators import clips, layout, metrics, reuse, runs, segment, state, timeline, tree
-from ..sources import markup
+from ..sources import audio, books, markup
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,24 +56,38 @@ def timeline_offsets(spark, sf_dir):
     return timeline.offsets(turns(spark, sf_dir), 400, 800).select("doc_id", "pos", "start_ms", "total_ms")
 
 
-@query(rf"""WITH {TURNS},
+CHAPTERS = rf"""WITH {TURNS},
 h AS (SELECT *, trim(regexp_replace(split_part(trim(text, chr(10) || ' '), chr(10), 1), '\s+', ' ', 'g')) AS title FROM o),
 k AS (SELECT *, lag(title) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM h
       WHERE title <> '' AND length(title) <= 60 AND regexp_matches(title, '(?i)^\s*(part|book|chapter|section|prologue|epilogue)\b')),
 e AS (SELECT doc_id, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY pos), total_ms) AS end_ms, title FROM k WHERE title IS DISTINCT FROM before)
-SELECT * FROM e WHERE end_ms > start_ms""")
+SELECT * FROM e WHERE end_ms > start_ms"""
+
+
+@query(CHAPTERS)
 def chapters_timeline(spark, sf_dir):
     return timeline.heading_chapters(timeline.offsets(turns(spark, sf_dir), 400, 800))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {TURNS},
+f AS (SELECT *, trim(regexp_replace(split_part(trim(text, chr(10) || ' '), chr(10), 1), '\s+', ' ', 'g')) AS line FROM o),
+t AS (SELECT doc_id, n, 'Chapter ' || n || ' and more' AS title FROM (SELECT DISTINCT doc_id FROM o), unnest(range(3)) AS u(n)),
+m AS (SELECT t.doc_id, n, title, pos, start_ms, total_ms FROM t JOIN f ON f.doc_id = t.doc_id AND line <> '' AND (line = title OR starts_with(title, line || ' '))),
+r AS (SELECT doc_id, -1::BIGINT AS n, -1::BIGINT AS pos, false AS hit FROM (SELECT DISTINCT doc_id FROM o)
+      UNION ALL SELECT r.doc_id, r.n + 1, coalesce((SELECT min(m.pos) FROM m WHERE m.doc_id = r.doc_id AND m.n = r.n + 1 AND m.pos > r.pos), r.pos),
+        EXISTS (SELECT 1 FROM m WHERE m.doc_id = r.doc_id AND m.n = r.n + 1 AND m.pos > r.pos) FROM r WHERE r.n < 2),
+e AS (SELECT m.doc_id, m.start_ms, coalesce(lead(m.start_ms) OVER (PARTITION BY m.doc_id ORDER BY m.pos), m.total_ms) AS end_ms, m.title FROM r JOIN m ON r.hit AND m.doc_id = r.doc_id AND m.n = r.n AND m.pos = r.pos)
+SELECT * FROM e WHERE end_ms > start_ms""")
 def chapters_by_title(spark, sf_dir):
     timed = timeline.offsets(turns(spark, sf_dir), 400, 800)
     titles = timed.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")).withColumn("title", F.format_string("Chapter %d and more", "n"))
     return timeline.title_chapters(timed, titles)
 
 
-@query()
+@query(rf"""WITH c AS ({CHAPTERS}),
+l AS (SELECT doc_id, start_ms, unnest(range(5)) AS k, unnest(['[CHAPTER]', 'TIMEBASE=1/1000', 'START=' || start_ms, 'END=' || end_ms, 'title=' || regexp_replace(title, '([=;#\\])', '\\\1', 'g')]) AS line FROM c
+      UNION ALL SELECT DISTINCT doc_id, -1, 0, ';FFMETADATA1' FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, k) - 1 AS INTEGER) AS pos, line FROM l""")
 def chapter_metadata(spark, sf_dir):
     return timeline.metadata_lines(chapters_timeline(spark, sf_dir))
 
@@ -103,7 +117,13 @@ def cache_publish(spark, sf_dir):
     return reuse.published(cache, new, rows.where("doc_id % 5 = 0"))
 
 
-@query()
+# CRC-32 from a table of the 256 remainders of its polynomial.
+@query("""WITH RECURSIVE z AS (SELECT b, b AS x, 0 AS n FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), n + 1 FROM z WHERE n < 8),
+c AS (SELECT list(x ORDER BY b) AS crc FROM z WHERE n = 8),
+d AS (SELECT doc_id, list_transform(range(octet_length(encode(text))), lambda i: ('0x' || hex(encode(text))[2 * i + 1 : 2 * i + 2])::BIGINT) AS bytes FROM documents),
+r AS (SELECT doc_id, xor(4294967295, list_reduce(bytes, lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1]), 4294967295::BIGINT)) AS sum FROM d, c)
+SELECT doc_id, (42 + sum + doc_id % 4 * 2654435761) % 2147483648 AS seed FROM r""")
 def chunk_seeds(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", identity.chunk_seed(F.lit(42), F.col("text"), (F.col("doc_id") % 4).cast("int")).alias("seed"))
@@ -151,22 +171,15 @@ def run_pick(spark, sf_dir):
     return runs.resumable(rows).select("book", "tag", "name")
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(regexp_replace(text, '[\p{M}\p{P}\p{S}]', '', 'g')), '\s+'), lambda x: x <> '')[:12] AS w FROM conversations),
+# A row of the table of edit distances at a time, as Spark's side has it.
+@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(strip_accents(lower(replace(replace(text, '-', ' '), '—', ' '))), '[\p{M}\p{P}\p{S}]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM conversations),
 p AS (SELECT conv_id, turn, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS a, w AS b FROM t),
-d AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS v FROM p WHERE a IS NOT NULL),
-c AS (SELECT *, list_aggregate(list_transform(a, lambda x: chr(64 + list_position(v, x)::INT)), 'string_agg', '') AS sa, list_aggregate(list_transform(b, lambda x: chr(64 + list_position(v, x)::INT)), 'string_agg', '') AS sb FROM d)
-SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN levenshtein(coalesce(sa, ''), coalesce(sb, '')) / len(a) WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END AS wer FROM c""")
+n AS (SELECT *, list_transform(b, lambda x: list_position(b, x)::BIGINT) AS v, list_transform(a, lambda x: [coalesce(list_position(b, x), 0)::BIGINT]) AS u FROM p WHERE a IS NOT NULL),
+d AS (SELECT conv_id, turn, len(a) AS na, len(b) AS nb, list_reduce(u, lambda row, x: list_transform(range(1, len(v) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k:
+        j - k + CASE WHEN k = 1 THEN row[1] + 1 ELSE least(row[k] + 1, row[k - 1] + CASE WHEN v[k - 1] = x[1] THEN 0 ELSE 1 END) END))), range(len(v) + 1)) AS last FROM n)
+SELECT conv_id, turn, CASE WHEN na > 0 THEN last[-1] / na WHEN nb = 0 THEN 0.0 ELSE 1.0 END AS wer FROM d""")
 def wer_turns(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(metrics.simple_tokens(F.col("text")), 1, 12).alias("b"))
-    rows = rows.withColumn("a", F.lag("b").over(Window.partitionBy("conv_id").orderBy("turn"))).where("a is not null")
-    return rows.select("conv_id", "turn", metrics.error_rate(F.col("a"), F.col("b")).alias("wer"))
-
-
-@query()
-def wer_whole_turns(spark, sf_dir):
-    """``wer_turns`` over all tokens of both turns."""
+    """The error rate of each whole turn against the one before."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("b"))
@@ -244,8 +257,8 @@ def silence_pairs(spark, sf_dir):
     return clips.silences(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), line.alias("line")))
 
 
-@query("""WITH q AS (SELECT DISTINCT user_id AS doc_id, (event_id * 7 % 600) / 10.0::DOUBLE AS start, (event_id * 7 % 600) / 10.0::DOUBLE + 0.5 AS "end" FROM events WHERE event_id % 2 = 0),
-t AS (SELECT DISTINCT user_id AS doc_id, CASE WHEN user_id % 9 = 0 THEN 8.0::DOUBLE ELSE 61.0::DOUBLE END AS total FROM events),
+@query("""WITH q AS (SELECT user_id AS doc_id, event_id / 10.0::DOUBLE AS start, event_id / 10.0::DOUBLE + 0.5 AS "end" FROM events),
+t AS (SELECT user_id AS doc_id, CASE WHEN user_id % 9 = 0 THEN 8.0::DOUBLE ELSE max(event_id) / 10.0::DOUBLE + 61 END AS total FROM events GROUP BY user_id),
 e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") AS n FROM (SELECT * FROM q UNION ALL SELECT doc_id, 0.0, 0.0 FROM t UNION ALL SELECT doc_id, total, total FROM t)),
 b AS (SELECT a.doc_id, a."end" AS x, c.start AS y FROM e a JOIN e c ON a.doc_id = c.doc_id AND c.start - a."end" BETWEEN 3 AND 10 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY abs(c.start - a."end" - 7), a.n, c.n) = 1),
 d AS (SELECT doc_id, arg_min("end", start) AS lead FROM q WHERE start < 1 GROUP BY doc_id)
@@ -253,9 +266,8 @@ SELECT t.doc_id, CASE WHEN total <= 10 THEN 0.0 WHEN x IS NOT NULL THEN x ELSE c
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN d USING (doc_id)""")
 def clip_window(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    start = (F.col("event_id") * 7 % 600) / 10.0
-    quiet = e.where("event_id % 2 = 0").select(F.col("user_id").alias("doc_id"), start.alias("start"), (start + 0.5).alias("end")).distinct()
-    totals = e.select(F.col("user_id").alias("doc_id")).distinct().withColumn("total", F.when(F.col("doc_id") % 9 == 0, 8.0).otherwise(61.0))
+    quiet = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") / 10.0).alias("start"), (F.col("event_id") / 10.0 + 0.5).alias("end"))
+    totals = e.groupBy(F.col("user_id").alias("doc_id")).agg((F.max("event_id") / 10.0 + 61).alias("total")).withColumn("total", F.when(F.col("doc_id") % 9 == 0, 8.0).otherwise(F.col("total")))
     return clips.clip_windows(quiet, totals)
 
 
@@ -331,7 +343,20 @@ def lexicon_replace(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha1(respell(F.col("text")).cast("binary")).alias("sha1"))
 
 
-@query()
+SENTENCES = r"""w AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw FROM (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS x FROM documents)),
+v AS (SELECT *, rtrim(raw, ' ' || chr(10) || chr(9) || chr(13)) AS t, regexp_replace(ltrim(rtrim(raw, ' ' || chr(10) || chr(9) || chr(13)), '"«''('), '\.+$', '') AS bare FROM w),
+b AS (SELECT *, lag(t) OVER d AS last, lag(bare) OVER d AS last_bare, lag(t, 2) OVER d AS earlier, lag(bare, 2) OVER d AS earlier_bare, regexp_extract(t, '^["«''(—-]?\+?(.)', 1) AS head FROM v WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT string_split('mr mrs ms dr prof st jr sr vs etc e.g i.e a.m p.m vol ch fig т.е т.д т.п г гг ул проф', ' ') AS abbreviations),
+c AS (SELECT *, regexp_matches(last, '[.!?…]$') AND regexp_matches(head, '[\p{L}\p{Nl}\p{No}]') AND NOT regexp_matches(head, '[a-zа-яё]')
+        AND NOT (ends_with(last, '.') AND (list_contains(abbreviations, lower(last_bare)) OR (regexp_full_match(last_bare, '[A-ZА-ЯЁ]') AND ends_with(t, '.') AND regexp_full_match(bare, '[A-ZА-ЯЁ]')))) AS opens,
+        i > 1 AND ends_with(last, '.') AND (list_contains(abbreviations, lower(regexp_replace(ltrim(earlier || last, '"«''('), '\.+$', '')))
+          OR (regexp_full_match(last_bare, '[A-ZА-ЯЁ]') AND ends_with(earlier, '.') AND regexp_full_match(earlier_bare, '[A-ZА-ЯЁ]'))) AS tied FROM b, a),
+s AS (SELECT doc_id, i, raw, i = 0 OR last_value(CASE WHEN i = 0 THEN 1 WHEN NOT opens THEN 0 WHEN NOT tied THEN 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) = 1 AS starts FROM c),
+g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS pos FROM s)"""
+
+
+# A start that two words before could tie to them is one only if the word before is one: the last word that decides is looked for.
+@query(f"""WITH {SENTENCES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, rtrim(string_agg(raw, '' ORDER BY i), ' ' || chr(10) || chr(9) || chr(13)) AS sentence FROM g GROUP BY 1, 2""")
 def sentences(spark, sf_dir):
     return segment.sentence_rows(table(spark, sf_dir, "documents"))
 
@@ -341,12 +366,22 @@ def chunks(spark, sf_dir):
     return segment.chunked(table(spark, sf_dir, "documents"), 300)
 
 
-@query()
+@query(rf"""WITH {SENTENCES},
+t AS (SELECT doc_id, pos, rtrim(string_agg(raw, '' ORDER BY i), ' ' || chr(10) || chr(9) || chr(13)) AS sentence, max(pos) OVER (PARTITION BY doc_id) + 1 AS n FROM g GROUP BY 1, 2),
+h AS (SELECT doc_id, (pos >= n // 2)::INT AS k, string_agg(sentence, ' ' ORDER BY pos) AS text FROM t WHERE n > 1 GROUP BY 1, 2),
+o AS (SELECT doc_id, sentence AS x, length(sentence[1 : length(sentence) // 2]) - strpos(reverse(sentence[1 : length(sentence) // 2]), ' ') AS cut, strpos(reverse(sentence[1 : length(sentence) // 2]), ' ') > 0 AS there FROM t WHERE n = 1),
+p AS (SELECT doc_id, unnest([0, 1]) AS k, unnest([trim(x[1 : cut]), trim(x[cut + 1 : length(x)])]) AS text FROM o WHERE there AND cut > 0)
+SELECT doc_id::VARCHAR AS chunk_id, doc_id || '_' || k AS sub_id, text FROM (SELECT * FROM h UNION ALL SELECT * FROM p)""")
 def retry_pieces(spark, sf_dir):
     return segment.retry_pieces(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT doc_id, replace(replace(text, '. ', '. [pause 800ms] '), chr(10), chr(10) || '[slow]') AS t FROM documents),
+h AS (SELECT doc_id, 0 AS part, CASE WHEN contains(t, '[slow]') THEN t[1 : strpos(t, '[slow]') - 1] ELSE t END AS x FROM r UNION ALL SELECT doc_id, 1, t[strpos(t, '[slow]') + 6 : length(t)] FROM r WHERE contains(t, '[slow]')),
+p AS (SELECT doc_id, part, len(string_split(x, '[pause 800ms]')) AS n, unnest(string_split(x, '[pause 800ms]')) AS text, unnest(range(len(string_split(x, '[pause 800ms]')))) AS i FROM h),
+m AS (SELECT *, CASE WHEN i < n - 1 THEN 800 ELSE 0 END AS ms, NOT regexp_full_match(text, '\s*') AS said FROM p),
+g AS (SELECT *, sum(said::INT) OVER (PARTITION BY doc_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) AS seg FROM m)
+SELECT doc_id, CAST(seg - 1 AS INTEGER) AS pos, any_value(text) FILTER (said) AS text, any_value(CASE WHEN part = 1 THEN 0.85::DOUBLE END) FILTER (said) AS speed, CAST(least(sum(ms), 10000) AS INTEGER) AS pause_ms FROM g WHERE seg > 0 GROUP BY 1, 2""")
 def paced_segments(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit(". "), F.lit(". [pause 800ms] ")), F.lit("\n"), F.lit("\n[slow]")).alias("text"))
     return segment.segmented(rows)
@@ -383,3 +418,129 @@ def option_errors(spark, sf_dir):
     k = F.col("s_suppkey")
     error = runs.option_error(F.when(k % 9 == 0, "none").otherwise("omni"), F.when(k % 8 == 0, "ogg").otherwise("mp3"), (k % 6).cast("double"), F.when(k % 7 == 0, "e!").otherwise("en-US"), F.lit(""))
     return table(spark, sf_dir, "supplier").select(k, error.alias("error"))
+
+
+def page_books(spark, sf_dir) -> DataFrame:
+    """EPUB files of up to eight pages each: a cover, a short unlisted page, and parts in falling order, of which the even ones are listed."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(k=rows.page_id % 8).sort_values("k", ascending=False)
+        order = sorted(rows.k.tolist(), key=lambda k: (k != 0, k != 7, -k))
+        page = lambda k, url: f'<html xmlns:epub="e"><body epub:type="{"cover" if k == 0 else "bodymatter"}"><p>{url}</p></body></html>'
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+            items = "".join(f'<item id="i{k}" href="k{k}.xhtml"/>' for k in rows.k)
+            z.writestr("p.opf", f'<package><manifest><item id="n" href="nav.xhtml" properties="nav"/>{items}</manifest><spine>{"".join(f"""<itemref idref="i{k}"/>""" for k in order)}</spine></package>')
+            z.writestr("nav.xhtml", f'<html xmlns:epub="e"><nav epub:type="toc">{"".join(f"""<a href="k{k}.xhtml">Part&nbsp;{k}</a>""" for k in rows.k if k % 2 == 0 and k > 0)}</nav></html>')
+            for k, url in zip(rows.k, rows.url):
+                z.writestr(f"k{k}.xhtml", page(k, url))
+        return pd.DataFrame({"path": [str(rows.page_id.iloc[0] // 8)], "content": [held.getvalue()]})
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 8).alias("book"))
+    return pages.groupBy("book").applyInPandas(lambda rows: made(rows), "path string, content binary")
+
+
+@query(r"""WITH p AS (SELECT page_id // 8 AS book, page_id % 8 AS k, url FROM pages),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY k <> 0, k <> 7, k DESC) - 1 AS INTEGER) AS pos FROM p),
+f AS (SELECT *, min(pos) FILTER (k % 2 = 0 AND k > 0) OVER (PARTITION BY book) AS first, bool_or(k % 2 = 0 AND k > 0) OVER (PARTITION BY book) AS lists FROM o)
+SELECT book::VARCHAR AS path, pos, CASE WHEN k % 2 = 0 THEN 'Part ' || k || chr(10) || chr(10) ELSE '' END || url AS text, CASE WHEN k % 2 = 0 THEN 'Part ' || k ELSE '' END AS titles
+FROM f WHERE k > 0 AND NOT (lists AND (first IS NULL OR pos < first))""")
+def epub_sections(spark, sf_dir):
+    found = books.sections(books.parts(page_books(spark, sf_dir)))
+    return found.select("path", "pos", "text", F.array_join("titles", "|").alias("titles"))
+
+
+def chunk_state(spark, sf_dir) -> DataFrame:
+    """Orders as chunks of their customers, with a status, retries and a speaker's seed."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    values = {
+        "doc_id": F.col("o_custkey"), "chunk_id": key.cast("string"), "text": F.col("o_orderpriority"), "retries": key % 3, "error": F.when(key % 5 == 0, "old"), "seed": key * 7,
+        "status": F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed"),
+        "qc": F.struct((key % 10 / 10).alias("wer"), F.lit(1.0).alias("ratio"), F.lit(0).alias("attempts"), F.when(key % 2 == 0, "pass").alias("verdict"), F.lit(None).alias("error")),
+    }
+    fields = [f.split(" ", 1) for f in state.STATE.split(", ")]
+    return orders.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END"
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS k, {STATUS} AS status FROM orders),
+n AS (SELECT *, CASE WHEN k % 4 = 0 THEN CASE WHEN k % 8 = 0 THEN 'completed' ELSE 'failed' END END AS new FROM s)
+SELECT doc_id, k::VARCHAR AS chunk_id, CASE WHEN new = 'completed' AND k % 3 <> 0 THEN 'pending' WHEN new IS NOT NULL THEN new WHEN status = 'completed' AND k % 3 <> 0 THEN 'pending' ELSE status END AS status,
+  CASE WHEN new = 'failed' THEN 'boom' WHEN new = 'completed' THEN NULL WHEN k % 5 = 0 THEN 'old' END AS error, CAST(k % 3 + CASE WHEN new = 'failed' THEN 1 ELSE 0 END AS INTEGER) AS retries,
+  CASE WHEN new IS NOT NULL THEN 1 ELSE k * 7 END AS seed, CASE WHEN new IS DISTINCT FROM 'completed' AND k % 2 = 0 THEN 'pass' END AS verdict FROM n""")
+def state_updates(spark, sf_dir):
+    """A round's changes, then completed chunks without audio (two of three) pending again."""
+    chunks, k = chunk_state(spark, sf_dir), F.col("chunk_id").cast("long")
+    new = F.when(k % 8 == 0, "completed").otherwise("failed")
+    changes = chunks.where(k % 4 == 0).select("doc_id", "chunk_id", new.alias("new_status"), F.when(new == "failed", "boom").alias("new_error"), F.lit(1).cast("long").alias("new_seed"))
+    after = state.reset_invalid(state.updated(chunks, changes), chunks.where(k % 3 == 0).select("doc_id", "chunk_id"))
+    return after.select("doc_id", "chunk_id", "status", "error", "retries", "seed", "qc.verdict")
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS doc_id, o_orderkey::VARCHAR AS chunk_id, o_orderpriority AS text, {STATUS} AS status, o_orderkey % 3 AS retries FROM orders)
+SELECT doc_id, chunk_id, NULL::VARCHAR AS parent_id, CASE WHEN status = 'failed' AND contains(text, ' ') THEN 'split' ELSE status END AS status, text, CAST(retries AS INTEGER) AS retries FROM s
+UNION ALL SELECT doc_id, chunk_id || '_' || k, chunk_id, 'pending', piece, 0 FROM (SELECT *, unnest(range(2)) AS k, unnest([split_part(text, ' ', 1), split_part(text, ' ', 2)]) AS piece FROM s WHERE status = 'failed' AND contains(text, ' '))""")
+def state_pieces(spark, sf_dir):
+    """Failed chunks split at the space of their text, as far as they have one."""
+    chunks = chunk_state(spark, sf_dir)
+    failed = state.with_status("failed", chunks).where(F.instr("text", " ") > 0)
+    pieces = failed.select("doc_id", "chunk_id", F.posexplode(F.split("text", " ", 2)).alias("n", "text"))
+    pieces = pieces.select("doc_id", "chunk_id", F.concat_ws("_", "chunk_id", F.col("n").cast("string")).alias("sub_id"), "text")
+    return state.with_pieces(chunks, pieces).select("doc_id", "chunk_id", "parent_id", "status", "text", "retries")
+
+
+@query(f"""WITH {KEYED}, c AS (SELECT key, min(doc_id) AS first FROM k WHERE doc_id % 3 = 0 GROUP BY key)
+SELECT doc_id, CASE WHEN first % 2 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN first % 2 = 0 THEN true END AS reused,
+  CASE WHEN first % 2 = 0 AND first % 4 = 0 THEN 2 ELSE 0 END AS retries, CASE WHEN first % 2 = 0 AND first % 4 = 0 THEN 0.25::DOUBLE END AS wer FROM k LEFT JOIN c USING (key)""")
+def cache_restore(spark, sf_dir):
+    rows = keyed_documents(spark, sf_dir)
+    own = rows.select(F.col("doc_id"), F.col("doc_id").cast("int").alias("pos"), "text", F.lit(0).alias("pause_ms"), "speed", F.lit(True).alias("ends_paragraph"))
+    chunks = state.initial(own).drop("key").join(rows.select("doc_id", "key"), "doc_id")
+    first = F.col("first")
+    cache = rows.where("doc_id % 3 = 0").groupBy("key").agg(F.min("doc_id").alias("first")).select("key", (first % 2 == 0).alias("valid"), F.when(first % 4 == 0, 0.25).alias("wer"), F.lit(1.0).alias("ratio"), F.lit(2).alias("attempts"))
+    return reuse.restored(chunks, cache).select("doc_id", "status", "reused", "retries", "qc.wer")
+
+
+@query("""WITH r AS (SELECT user_id AS book, strftime(ts, '%Y-%m-%d-%H00') AS stamp, event_id % 4 + 1 AS serial, event_type AS tag FROM events WHERE event_id % 5 > 0),
+w AS (SELECT DISTINCT user_id AS book, strftime(ts, '%Y-%m-%d-%H00') AS stamp, event_type AS tag FROM events),
+s AS (SELECT *, (SELECT min(n) FROM (SELECT unnest(range(1, 7)) AS n) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.book = w.book AND r.stamp = w.stamp AND r.tag = w.tag AND r.serial = n)) AS n FROM w)
+SELECT book, stamp, tag, stamp || CASE WHEN n > 1 THEN '.' || n ELSE '' END || '-' || tag AS name FROM s""")
+def free_run_names(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("book"), F.date_format("ts", "yyyy-MM-dd-HH'00'").alias("stamp"), F.col("event_type").alias("tag"), "event_id")
+    serial = F.col("event_id") % 4 + 1
+    taken = e.where("event_id % 5 > 0").select("book", F.concat("stamp", F.when(serial > 1, F.concat(F.lit("."), serial.cast("string"))).otherwise(""), F.lit("-"), "tag").alias("name"))
+    return runs.free_names(taken, e.select("book", "stamp", "tag").distinct())
+
+
+@query("""SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 3 > 0 THEN 'succeeded' WHEN user_id % 4 = 0 THEN 'running' WHEN event_id % 2 = 0 THEN 'succeeded' ELSE 'failed' END AS state,
+  CASE WHEN event_id % 3 = 0 AND (user_id % 4 = 0 OR event_id % 2 = 1) THEN 'at ' || event_type END AS log, event_id % 3 > 0 OR (user_id % 4 > 0 AND event_id % 2 = 0) AS downloadable FROM events""")
+def job_states(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    jobs = e.select(k.cast("string").alias("id"), F.col("user_id").alias("pid"), F.when(k % 3 > 0, "succeeded").otherwise("running").alias("state"), F.col("ts").cast("string").alias("created_at"), F.concat(F.lit("at /srv/"), "event_type").alias("log"))
+    alive = e.where("user_id % 4 = 0").select(F.col("user_id").alias("pid")).distinct()
+    outputs = e.where("event_id % 2 = 0").select(k.cast("string").alias("id"))
+    return runs.job_views(runs.settled_jobs(jobs, alive, outputs), "/srv/").select("id", "state", "log", "downloadable")
+
+
+@query("""WITH x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+q AS (SELECT *, abs(v) <= 0.1::FLOAT::DOUBLE AS quiet, max(CASE WHEN abs(v) > 0.1::FLOAT::DOUBLE THEN i END) OVER (PARTITION BY vec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS loud FROM x)
+SELECT vec_id, count(*) FILTER (loud IS NULL OR i - loud <= 1) AS kept FROM q GROUP BY 1""")
+def silence_capped(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.size(signal.capped_silence(F.col("embedding"), F.lit(100), F.lit(0.1).cast("float"), 10)).cast("long").alias("kept"))
+
+
+@query("""WITH x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding) AS v FROM embeddings)
+SELECT vec_id, n AS frames, CAST(round(n * 1000.0 / 8000) AS BIGINT) AS duration_ms, true AS valid, sum(trunc(v * 32767::FLOAT)::BIGINT) AS total FROM x GROUP BY 1, 2""")
+def wav_files(spark, sf_dir):
+    """Vectors as WAV files: what their headers say, and the sum of the samples read back."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", audio.wav_file(signal.to_pcm16(F.col("embedding")), F.lit(8000)).alias("content"))
+    read = rows.select("vec_id", audio.wav_facts("content").alias("f"), F.transform(audio.wav_samples("content"), lambda x: F.round(x.cast("double") * 32767).cast("long")).alias("s"))
+    return read.select("vec_id", "f.frames", "f.duration_ms", "f.valid", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

@@ -249,7 +249,7 @@ def test_whole_turns_are_read(spark, tmp_path):
     said = " ".join(f"w{i}" for i in range(12))
     turns = [(1, 0, said + " one two"), (1, 1, said + " one six"), (1, 2, said), (2, 0, "a"), (2, 1, "")]
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    found = QUERIES["wer_whole_turns"](spark, str(tmp_path)).orderBy("conv_id", "turn")
+    found = QUERIES["wer_turns"](spark, str(tmp_path)).orderBy("conv_id", "turn")
     assert rows(found) == [(1, 1, 1 / 14), (1, 2, 2 / 14), (2, 1, 1.0)]
 
 
