@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import segment, state
+from .metrics import expected_seconds
 
 MEASURED = "doc_id long, chunk_id string, wer double, ratio double, expected double"
 
@@ -48,13 +49,15 @@ def settled(chunks: DataFrame, make: Callable[[DataFrame], DataFrame], measure:
     ``make`` gives the changes (see ``state.updated``) of pending chunks,
     ``measure`` the measurements of completed ones without a verdict, and
     ``keep`` writes a round's state and reads it back, which cuts its lineage.
+    Budget and depth bound the rounds a chunk needs; more than ``most_rounds``
+    are an error.
     """
     for _ in range(most_rounds):
         chunks = keep(state.updated(chunks, make(state.with_status("pending", chunks))))
         measured = measure(state.unchecked(chunks))
-        stored = chunks.where("qc.ratio is not null").select("doc_id", F.col("qc.ratio").alias("ratio"), (F.length("text") / 20.0).alias("expected"))
+        stored = chunks.where("qc.ratio is not null").select("doc_id", F.col("qc.ratio").alias("ratio"), expected_seconds(F.col("text"), F.col("speed")).alias("expected"))
         after, steps = checked(chunks, measured, stored, retry_budget, max_depth)
         chunks, quiet = keep(after), steps.where("step in ('retry', 'split')").isEmpty()
         if quiet:
-            break
-    return chunks
+            return chunks
+    raise RuntimeError(f"chunks did not settle in {most_rounds} rounds")
