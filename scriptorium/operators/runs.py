@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,11 @@ def job_views(jobs: DataFrame, hidden_path: str) -> DataFrame:
     return jobs.withColumns({"log": F.when(F.col("state").isin("running", "failed"), log), "downloadable": F.col("state") == "succeeded"})
 
 
+def forwarded(environment: Column, *prefixes: str) -> Column:
+    """The variables of a map that are handed on: those whose names begin with one of ``prefixes``."""
+    return F.map_filter(environment, lambda name, _: functools.reduce(lambda a, b: a | b, [name.startswith(p) for p in prefixes]))
+
+
 def option_error(model: Column, format_: Column, workers: Column, language: Column, instruct: Column) -> Column:
     """Why options are refused, or null."""
     return (

@@ -236,18 +236,28 @@ def indent_mode(spark, sf_dir):
     return layout.paragraph_indents(page_lines(spark, sf_dir))
 
 
-@query(rf"""WITH {PAGE},
-r AS (SELECT p.doc_id, pos, indent, trim(line) AS t, length(line) - length(ltrim(line)) AS lead, regexp_full_match(trim(line), '[IVXLC]+') AS h FROM p JOIN indents USING (doc_id) WHERE trim(line) <> ''),
+ISLANDS = rf"""r AS (SELECT p.doc_id, pos, indent, trim(line) AS t, length(line) - length(ltrim(line)) AS lead, regexp_full_match(trim(line), '[IVXLC]+') AS h FROM p JOIN indents USING (doc_id) WHERE trim(line) <> ''),
 k AS (SELECT * FROM r WHERE h OR NOT (lead >= 10 AND length(t) <= 4)),
 s AS (SELECT *, h OR coalesce(lag(h) OVER w, false) OR lead >= indent AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 n AS (SELECT *, sum(starts::INT) OVER w AS paragraph, sum(h::INT) OVER w AS number,
         regexp_replace(regexp_replace(t, ' {{5,}}\d{{1,3}}( |$)', '\1', 'g'), '^\d{{2,3}} ([a-z])', '\1') AS bare FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-j AS (SELECT doc_id, paragraph, bool_or(h) AS h, min(number) AS number, string_agg(bare, chr(1) ORDER BY pos) AS joined FROM n GROUP BY 1, 2)
-SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CASE WHEN h THEN 'Chapter ' || number || '.' ELSE regexp_replace(replace(regexp_replace(joined, '-' || chr(1) || '(\p{{Ll}})', '\1', 'g'), chr(1), ' '), ' {{2,}}', ' ', 'g') END AS text FROM j""")
+j AS (SELECT doc_id, paragraph, bool_or(h) AS h, min(number) AS number, string_agg(bare, chr(1) ORDER BY pos) AS joined FROM n GROUP BY 1, 2),
+x AS (SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CASE WHEN h THEN 'Chapter ' || number || '.' ELSE regexp_replace(replace(regexp_replace(joined, '-' || chr(1) || '(\p{{Ll}})', '\1', 'g'), chr(1), ' '), ' {{2,}}', ' ', 'g') END AS text, h FROM j)"""
+
+
+@query(f"WITH {PAGE}, {ISLANDS} SELECT doc_id, paragraph, text FROM x")
 def paragraph_islands(spark, sf_dir):
     return layout.cleaned(page_lines(spark, sf_dir)).select("doc_id", "paragraph", "text")
 
 
+@query(rf"""WITH {PAGE.replace("FROM l1)", "FROM l1 WHERE pos BETWEEN 2 AND 39)")}, {ISLANDS}
+SELECT doc_id, count(*) FILTER (h) AS n_headings, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))) AS BIGINT) AS n_words FROM x GROUP BY 1""")
+def page_report(spark, sf_dir):
+    """Lines 3 to 40 of each page: headings found, and words kept."""
+    found = layout.report(layout.cleaned(page_lines(spark, sf_dir), first=3, last=40))
+    return found.select("doc_id", F.size("headings").cast("long").alias("n_headings"), "n_words")
+
+
 @query(r"""WITH l AS (SELECT user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN (event_id % 997) / 10.0::DOUBLE END AS s, CASE WHEN event_id % 3 <> 0 THEN (event_id % 991) / 10.0::DOUBLE END AS e FROM events),
 f AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS start, last_value(CASE WHEN s IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS opened FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, start, e AS "end" FROM f WHERE e IS NOT NULL AND start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, opened ORDER BY pos) = 1""")
@@ -544,3 +554,11 @@ def wav_files(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", audio.wav_file(signal.to_pcm16(F.col("embedding")), F.lit(8000)).alias("content"))
     read = rows.select("vec_id", audio.wav_facts("content").alias("f"), F.transform(audio.wav_samples("content"), lambda x: F.round(x.cast("double") * 32767).cast("long")).alias("s"))
     return read.select("vec_id", "f.frames", "f.duration_ms", "f.valid", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'TTS_SIZE=' || p_size || ',' ELSE '' END || 'TTS_BRAND=' || p_brand AS handed_on FROM part""")
+def environment_forwarded(spark, sf_dir):
+    size = F.when(F.col("p_size") % 2 == 0, "TTS_SIZE").otherwise("OTHER_SIZE")
+    environment = F.create_map(size, F.col("p_size").cast("string"), F.lit("HOME"), F.col("p_name"), F.lit("TTS_BRAND"), F.col("p_brand"))
+    named = F.transform(F.map_entries(runs.forwarded(environment, "TTS_", "GPU_")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(named, ",").alias("handed_on"))

@@ -77,6 +77,12 @@ def test_error_rate(spark, a, b, wer):
     assert df.select(metrics.long_error_rate("a", "b")).first()[0] == pytest.approx(wer)
 
 
+def test_spoken_error_rate(spark):
+    cases = [("В 25 раз", "в 25-го раз", "ru", 0.0), ("In 1905.", "in nineteen oh five", "en", 0.0), ("21 men", "twenty-one cats", "en", 1 / 3), (None, "x", "en", 1.0), ("21", "21", None, 0.0)]
+    df = spark.createDataFrame([c[:3] for c in cases], "a string, b string, lang string")
+    assert [r[0] for r in df.select(metrics.spoken_error_rate("a", "b", "lang")).collect()] == pytest.approx([c[3] for c in cases])
+
+
 @pytest.mark.parametrize("wer, ratio, expected, median, result", [(0.1, 9.0, 3.9, None, "pass"), (0.3, 1.0, 9.0, None, "fail"), (0.1, 2.0, 9.0, None, "fail"), (0.1, 2.0, 9.0, 1.5, "pass"), (0.1, 3.0, 9.0, 3.0, "fail"), (0.1, 1.0, 9.0, 3.0, "pass"), (0.1, 2.0, 9.0, 0.0, "fail"), (0.25, 1.6, 9.0, None, "pass")])
 def test_verdict(spark, wer, ratio, expected, median, result):
     assert one(spark, metrics.verdict(F.lit(wer), F.lit(ratio), F.lit(expected), F.lit(median).cast("double"))) == result
@@ -109,6 +115,9 @@ def test_layout(spark):
     found = layout.cleaned(lines, indent=4).orderBy("paragraph").collect()
     assert [r.text for r in found] == ["Chapter 1.", "It was a long lone road and then-", "New one begins here- There."]
     assert (found[0].heading_line, found[0].heading) == (0, "II")
+    part = layout.cleaned(lines, indent=4, first=2, last=5)
+    assert [r.text for r in part.collect()] == ["It was a long lone road and then-"] and layout.report(part).first()[1:] == ([], 8)
+    assert layout.report(layout.cleaned(lines, indent=4)).first().headings[0].asDict() == {"line": 1, "text": "II"}
 
 
 def test_clips(spark):
