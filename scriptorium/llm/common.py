@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextvars
+import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -45,16 +51,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return out
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored result of ``make``; tables that it has stored on the way are removed."""
+    before = _MADE.set([])
+    try:
+        out = stored(make(), name)
+        for path in _MADE.get():
+            if path != out._stored_at:
+                _remove(out.sparkSession, path)
+    finally:
+        _MADE.reset(before)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``stored`` made and nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_stored_at", None):
+        _remove(df.sparkSession, path)
 
 
 #: Ids up to this many (8 MB) are sent to every executor; more are joined by shuffling.
@@ -227,8 +250,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    """The C library's way to hand free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+
+
+def release_memory() -> None:
+    """Hand what this worker has freed back to the machine: workers outlive their tasks and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def batches_of(rows, most_bytes: int = 4 << 20, column: str = "text"):
-    """Cut record batches so that each piece has few bytes of text, or one row."""
+    """Cut record batches so that each piece has few bytes of text, or one row; free memory goes back at the end."""
     for batch in rows:
         if not batch.num_rows:
             continue
@@ -239,6 +274,7 @@ def batches_of(rows, most_bytes: int = 4 << 20, column: str = "text"):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
 
 
 def doc_key(column: str = "doc_id") -> F.Column:
