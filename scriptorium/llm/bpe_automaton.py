@@ -47,7 +47,7 @@ ARCS = 100_000
 #: Bytes of the beginnings of words whose arcs are held, and how many of these (some 10 MB).
 HEAD, HEADS = 5, 20_000
 #: Encoded pieces that a worker holds at most, and as many older ones.
-KEPT = 250_000
+KEPT = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:

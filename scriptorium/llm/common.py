@@ -80,8 +80,8 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-#: Ids up to this many (8 MB) are sent to every executor; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+#: Ids up to this many (some 30 MB with what goes with them) are sent to every executor; more are joined by shuffling.
+BROADCAST_IDS = 250_000
 
 
 def with_ids(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
@@ -146,7 +146,7 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOOSE_ENDS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOOSE_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 5
 
 

@@ -35,7 +35,7 @@ RADIUS = 19
 #: Items and bytes of their texts in a group on average, and bytes of documents that a task compares with a group.
 GROUP_ITEMS = 1000
 GROUP_BYTES = 1 << 20
-PART_BYTES = 8 << 20
+PART_BYTES = 1 << 20
 SIEVE = 22
 _NEAR = np.array(sorted({sum(1 << b for b in bits) for n in range(RADIUS // 4 + 1) for bits in itertools.combinations(range(16), n)}), np.int64)
 

@@ -44,7 +44,7 @@ SPAN = 400
 FIELD = 17
 PASSAGE = 50
 PASSAGE_FIELD = 3
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 
 
 @functools.lru_cache(maxsize=4)

@@ -556,6 +556,20 @@ def test_near_duplicates(docs, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_hot_keys(spark, monkeypatch):
+    """Fingerprints and nodes of many rows take another way than others to the same result."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts_of = [f"text {i % 7} of a few words that repeat in many rows" for i in range(60)] + [f"{i} quite another text number {i * i}" for i in range(20)] + [None] * 9
+    ids = list(range(len(texts_of)))
+    prints = [fingerprint(t or "") for t in texts_of]
+    df = spark.createDataFrame(list(zip(ids, texts_of)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df).collect()}
+    assert [found[i] for i in ids] == grouped(ids, prints)
+    links = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(100, 140)] + [(139, 141), (50, 51), (7, 7)]
+    roots = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert roots == {i: 0 for i in range(30)} | {i: 100 for i in range(100, 142)} | {50: 50, 51: 50}
+
+
 def test_similar_documents(spark, docs, none):
     words = [f"w{i}" for i in range(200)]
     changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
