@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     on a cluster executors would each write to their own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 

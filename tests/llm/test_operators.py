@@ -492,6 +492,21 @@ def test_sharding(docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_no_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[8]"
+    assert common.shared_dir(Session).startswith("file:///")
+
+
 def test_shards_are_near_equal(spark):
     """The law: bytes of shards, and how the edited map differs from the one before."""
     base = common.documents(spark, "/root/testdata/sf0.1")
@@ -606,15 +621,15 @@ def test_appended_passages_are_similar(spark):
     assert found == want and len(want) == 72
 
 
-@pytest.mark.parametrize("block", [similar_docs.BLOCK, 50])
-def test_similar_pairs_in_dense_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, size", [(similar_docs.BLOCK, 200), (50, 200), (similar_docs.BLOCK, 800)])
+def test_similar_pairs_in_dense_groups(spark, monkeypatch, block, size):
     monkeypatch.setattr(similar_docs.separate_pairs, "__defaults__", (block,))
     rng = np.random.default_rng(5)
-    words = [f"w{i}" for i in range(200)]
+    words = [f"w{i}" for i in range(size)]
     texts = []
-    for k in range(300):
+    for k in range(300 if size < similar_docs.LONG else 120):
         own = list(words)
-        for at in rng.choice(200, rng.integers(2, 5), replace=False):
+        for at in rng.choice(size, rng.integers(size // 100, size // 40), replace=False):
             own[at] = f"x{k}y{at}"
         texts.append(" ".join(own))
     found, want = similar_left(spark, texts)
