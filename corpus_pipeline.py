@@ -29,7 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays, the one of the least doc_id.
 
-    A null doc_id counts as the greatest.  Repeated rows and equal texts are one
+    Found by SimHash and Golay-code fuzzy hashing, compared exactly, and completed
+    exactly.  A null doc_id counts as the greatest.  Repeated rows and equal texts are one
     document; different texts under one doc_id are documents of their own.  Texts
     without words, null ones too, are similar to each other.
     """

@@ -56,13 +56,8 @@ def golay_indices() -> np.ndarray:
     return table
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """SimHash of word shingles: a bit is set if over half of the shingles' hashes set it."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64)
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is set if over half of the 64-bit hashes set it; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -70,6 +65,15 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """SimHash of word shingles, repeats included."""
+    words = text.lower().split()
+    if not words:
+        return 0
+    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
+    return simhash(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 

@@ -1,7 +1,13 @@
-"""One document of each group of similar ones: exact set similarity by prefix filtering.
+"""One document of each group of similar ones: SimHash by Golay-code fuzzy hashing, then exact set similarity.
 
 Two texts are similar if the sets of their five-word shingles have a Jaccard
-similarity of 0.8 or more.  Such sets share at least 80 % of either, so in any
+similarity of 0.8 or more.  Each text has the SimHash fingerprint of its set;
+texts whose fingerprints the Golay keys of ``simhash_dedup`` link are compared
+exactly, and those that are similar make the first groups.
+
+Fingerprints of similar texts often differ in more bits than the code corrects,
+so an exact completion follows over texts that are still in separate groups.
+Similar sets share at least 80 % of either, so in any
 one order of all shingles the first 20 % of both, and one more, have a shingle
 in common (the prefix filter); these are a text's keys, and no similar pair is
 without a common one.  Shingles that are common in a sample come last in the
@@ -25,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, fresh, release_memory, stored, text_bytes, with_ids
+from .common import batches_of, fresh, hot_joined, release_memory, stored, text_bytes, with_ids
 from .components import connected_components
+from .simhash_dedup import fingerprint_links, simhash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -104,7 +111,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(node, first, size, keys, sketch) of each different text: its number, its first row (``no_id, doc_id, h``: by least doc_id, none last) and its shingles."""
+    """(node, first, size, keys, sketch, fp) of each different text: its number, its first row (``no_id, doc_id, h``: by least doc_id, none last), its shingles and their fingerprint."""
     common = common_shingles(docs)
 
     def run(batches):
@@ -114,14 +121,26 @@ def classes_of(docs: DataFrame) -> DataFrame:
             contents = pa.array([xxhash.xxh3_128_digest(t) for t in given], pa.binary())
             keys = pa.array([keys_of(h, common).view(np.int64) for h in hashes], pa.list_(pa.int64()))
             sketches = pa.array(list(map(sketch_of, hashes)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), contents, pa.array(list(map(len, hashes)), pa.int32()), keys, sketches], ["doc_id", "h", "content", "size", "keys", "sketch"])
+            prints = pa.array(np.array(list(map(simhash, hashes)), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), contents, pa.array(list(map(len, hashes)), pa.int32()), keys, sketches, prints], ["doc_id", "h", "content", "size", "keys", "sketch", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, content binary, size int, keys array<long>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, content binary, size int, keys array<long>, sketch binary, fp long")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    least = rows.groupBy("content").agg(F.min(row).alias("first"), F.min_by(F.struct("size", "keys", "sketch"), row).alias("of"))
+    least = rows.groupBy("content").agg(F.min(row).alias("first"), F.min_by(F.struct("size", "keys", "sketch", "fp"), row).alias("of"))
     return stored(least.select(F.monotonically_increasing_id().alias("node"), "first", "of.*"), "classes")
 
 
+def fuzzy_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints Golay-code fuzzy hashing links, and of each text with the least one of its fingerprint."""
+    prints = stored(classes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+    equal = hot_joined(classes.select("node", "fp"), prints, "fp", classes.count()).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    # Several buckets find the same link; each is taken once before it is joined to anything.
+    near = fingerprint_links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    for own in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(own), F.col("least").alias(f"_{own}")), own)
+    return equal.unionAll(near.select(F.least("_a", "_b"), F.greatest("_a", "_b")))
+
+
 def shared_keys(classes: DataFrame) -> DataFrame:
     """(key, prev, node, size, first) of each key that several texts have: the key before it in the text (its own mark for none), and the least of these texts with its size."""
     key = Window.partitionBy("key")
@@ -148,7 +167,7 @@ def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for own, of, size in (("a", "x", "m"), ("b", "y", "n")):
         pairs = pairs.join(classes.select(F.col("node").alias(own), F.col("sketch").alias(of), F.col("size").alias(size)), own)
     most = (F.col("m") + F.col("n")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
-    return pairs.select("a", "b", "x", "y", most.alias("most")).mapInArrow(run, "a long, b long")
+    return pairs.where(of_like_size("m", "n")).select("a", "b", "x", "y", most.alias("most")).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -179,6 +198,14 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     return stored(verified(stored(sketched(pairs.distinct(), classes), "candidates"), classes, docs), "similar")
 
 
+def spanning_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the least text of a key with the key's others, of texts that ``roots(node, root)`` leaves in separate groups."""
+    pairs = shared.where("node <> first.node").where(of_like_size("size", "first.size")).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    for own in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(own), F.col("root").alias(f"_{own}")), own, "left")
+    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def separate_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) that share a key and may be similar, of texts that ``roots(node, root)`` leaves in separate groups.
 
@@ -254,16 +281,21 @@ def separate_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, bloc
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the groups that ``links(a, b)`` make of those of ``roots``."""
+    if links.isEmpty():
+        return roots
+    return stored(connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(links)), "roots")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """(node, first) of one text of each group of similar documents, the one of the least first row."""
     classes = classes_of(docs)
+    roots = stored(connected_components(similar_pairs(fuzzy_pairs(classes), classes, docs)), "roots")
     shared = shared_keys(classes)
-    spanning = shared.where("node <> first.node").where(of_like_size("size", "first.size"))
-    links = similar_pairs(spanning.select(F.col("first.node").alias("a"), F.col("node").alias("b")), classes, docs)
-    roots = stored(connected_components(links), "roots")
+    roots = joined(roots, similar_pairs(spanning_pairs(shared, roots), classes, docs))
     # Pairs of a key that its least text does not join are compared too, but for those joined already.
-    links = links.unionAll(similar_pairs(separate_pairs(shared, roots, classes), classes, docs))
-    roots = stored(connected_components(links), "roots")
+    roots = joined(roots, similar_pairs(separate_pairs(shared, roots, classes), classes, docs))
     groups = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
     return groups.agg(F.min(F.struct("first", "node")).alias("of")).select("of.node", "of.first")
 

@@ -621,6 +621,31 @@ def test_appended_passages_are_similar(spark):
     assert found == want and len(want) == 72
 
 
+def test_similar_documents_by_fuzzy_hashing(spark, monkeypatch):
+    """Without its exact completion the stage finds the similar texts whose fingerprints Golay keys link."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(40):
+        words = [f"u{k}x{x}" for x in rng.integers(0, 5000, 300)]
+        texts += [" ".join(words), " ".join([*words[:150], f"new{k}", *words[151:]]), " ".join([*words, *(f"more{k}x{x}" for x in range(60))])]
+    sets = [similar_docs.runs(t.encode(), 5) for t in texts]
+    prints = [simhash_dedup.simhash(similar_docs.shingle_hashes(t.encode())) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(r.doc_id for r in similar_docs.keep_one(df).collect())
+    assert whole == list(range(0, 120, 3))
+    none = lambda *_: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(similar_docs, "spanning_pairs", none)
+    monkeypatch.setattr(similar_docs, "separate_pairs", none)
+    fuzzy = sorted(r.doc_id for r in similar_docs.keep_one(df).collect())
+    assert fuzzy == [i for i, r in enumerate(root) if i == r] and len(whole) < len(fuzzy) < 100
+
+
 @pytest.mark.parametrize("block, size", [(similar_docs.BLOCK, 200), (50, 200), (similar_docs.BLOCK, 800)])
 def test_similar_pairs_in_dense_groups(spark, monkeypatch, block, size):
     monkeypatch.setattr(similar_docs.separate_pairs, "__defaults__", (block,))
