@@ -24,8 +24,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_automaton import vocabulary_path
+from .bpe_automaton import _LATIN as BEYOND_LATIN
+from .bpe_automaton import byte_alphabet, split_words, vocabulary_path
 from .common import documents, shared_dir
-from .tokens import PieceCache
+from .tokens import END_OF_TEXT, LONGEST, PieceCache
 
 DICTIONARY_DOCS = 400
 DICTIONARY_CHARS = 8192
 DICTIONARY_BYTES = 32768
 BLOCK_BYTES = 1 << 20
 END_ID = 0
+#: What ``bpe_automaton.PATTERN`` is for ASCII, where Python's own expressions are faster.
+ASCII_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""")
+#: Words within pieces that a worker holds at most.
+KNOWN_WORDS = 50_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -59,11 +67,55 @@ def id_width(path: str) -> int:
     return 2 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
+def piece_ids(tokenizer) -> Callable[[str], list[int]]:
+    """The library's ids of a text without added tokens.
+
+    Where the tokenizer only splits words and merges bytes, its model is asked
+    word by word: new pieces are many, and most of an encoding's time goes into
+    offsets and masks that nothing reads.
+    """
+    steps, model = json.loads(tokenizer.to_str()), tokenizer.model
+    splitter = {k: (steps["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
+    plain = splitter == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and steps["normalizer"] is None and steps["post_processor"] is None
+    if not plain or steps["model"]["type"] != "BPE" or steps["model"]["dropout"] or [x["content"] for x in steps["added_tokens"]] != [END_OF_TEXT]:
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    shown, tokenize, known = {b: c for c, b in byte_alphabet().items()}, model.tokenize, {}
+
+    def of_word(word: str) -> list[int]:
+        # Printable characters of ASCII stand for themselves.
+        seen = word.replace(" ", shown[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(shown)
+        return [t.id for t in tokenize(seen)]
+
+    def of_piece(piece: str) -> list[int]:
+        if piece[piece[:1] == " " :].isalpha() and (piece.isascii() or not BEYOND_LATIN.search(piece)):
+            return of_word(piece)
+        if piece.isascii():
+            words = ASCII_WORDS.findall(piece)
+        else:
+            words = split_words(piece)
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        out = []
+        for word in words:
+            if (ids := known.get(word)) is None:
+                ids = of_word(word)
+                if len(word) <= LONGEST:
+                    known[word] = ids
+            out += ids
+        return out
+
+    return of_piece
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> PieceCache:
     """Texts to the bytes of ids of ``id_width(path)`` bytes each, by the tokenizers library."""
     tokenizer, kind = _tokenizer(path), "H" if id_width(path) == 2 else "I"
-    return PieceCache(lambda text: array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+    of_piece = piece_ids(tokenizer)
+    return PieceCache(
+        lambda text: array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes(),
+        encode_piece=lambda piece: array(kind, of_piece(piece)).tobytes(),
+    )
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:

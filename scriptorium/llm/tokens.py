@@ -65,14 +65,14 @@ class _Kept(dict):
 class PieceCache:
     """The bytes that ``encode`` gives for a text, from kept pieces where that is safe.
 
-    Beyond ``most`` pieces those that have not been used since the last time go.
+    ``encode_piece`` gives the same for one piece, if there is a shorter way.  Beyond ``most`` pieces those that have not been used since the last time go.
     An instance serves a worker process, over all its tasks.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 700_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 700_000, encode_piece: Callable[[str], bytes] | None = None):
         self.encode_whole, self.most = encode, most
-        self.first = _Kept(encode, "")
-        self.later = _Kept(encode, " ", self.first)
+        self.first = _Kept(encode_piece or encode, "")
+        self.later = _Kept(encode_piece or encode, " ", self.first)
 
     def encode(self, text: str) -> bytes:
         cut = pieces(text)

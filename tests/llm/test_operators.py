@@ -621,6 +621,27 @@ def test_appended_passages_are_similar(spark):
     assert found == want and len(want) == 72
 
 
+def test_pieces_by_the_model():
+    """New pieces are encoded by the library's model word by word, to what the library gives for them."""
+    import random
+
+    path, rng = bpe_automaton.vocabulary_path(), random.Random(4)
+    tokenizer, of_piece = token_files._tokenizer(path), token_files.piece_ids(token_files._tokenizer(path))
+    kinds = ["abcdefgh", "ABC", "0123", "###&&", ".,;:!?", "'", "éèçöñÉ", "½²×÷ª", "中文я", "ẞǅ", "😀", "\u0301\u2019\x7f\xad", "\n"]
+    asked = []
+    for _ in range(20_000):
+        piece = "".join(rng.choice(rng.choice(kinds)) * rng.choice((1, 1, 1, 2, 4)) for _ in range(rng.randrange(6)))
+        asked += [piece, " " + piece] + [w + rng.choice(("s", "ll", "x")) for w in [piece] if w[-1:] == "'"]
+    assert all(of_piece(x) == tokenizer.encode(x, add_special_tokens=False).ids for x in asked)
+
+    class Plain:
+        model = tokenizer.model
+        to_str = staticmethod(tokenizer.to_str)
+
+    # Nothing but the model is asked.
+    assert [token_files.piece_ids(Plain)(x) for x in asked[:500]] == [of_piece(x) for x in asked[:500]]
+
+
 def test_similar_documents_by_fuzzy_hashing(spark, monkeypatch):
     """Without its exact completion the stage finds the similar texts whose fingerprints Golay keys link."""
     rng = np.random.default_rng(7)
