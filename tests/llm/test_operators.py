@@ -585,6 +585,25 @@ def test_hot_keys(spark, monkeypatch):
     assert roots == {i: 0 for i in range(30)} | {i: 100 for i in range(100, 142)} | {50: 50, 51: 50}
 
 
+@pytest.mark.parametrize("few", [components.FEW_LINKS, -1])
+def test_few_links_make_no_rounds(spark, monkeypatch, few):
+    """One task joins few links, without the exchanges of rounds; rounds over many come to the same."""
+    rng = np.random.default_rng(6)
+    ends = [*rng.integers(-300, 300, (400, 2)).tolist(), *([i, i + 1] for i in range(1000, 1040)), *([2000, 1950 + i] for i in range(70)), [5, None], [None, None], [9000, 9000], [-(1 << 63), (1 << 63) - 1]]
+    parent = {x: x for a, b in ends if None not in (a, b) and a != b for x in (a, b)}
+    for _ in range(len(parent)):
+        for a, b in ends:
+            if None not in (a, b) and a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    calls = []
+    real = components.hot_joined
+    monkeypatch.setattr(components, "hot_joined", lambda *x: calls.append(x) or real(*x))
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    found = components.connected_components(spark.createDataFrame(ends, "a long, b long").repartition(7)).collect()
+    assert len(found) == len(parent) and {r.node: r.root for r in found} == parent and bool(calls) == (few < 0)
+    assert components.connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
 def test_similar_documents(spark, docs, none):
     words = [f"w{i}" for i in range(200)]
     changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
