@@ -22,9 +22,11 @@ document is written whole.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import json
+import os
 import re
 import zlib
 from array import array
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .bpe_automaton import _LATIN as BEYOND_LATIN
 from .bpe_automaton import byte_alphabet, split_words, vocabulary_path
-from .common import documents, shared_dir
-from .tokens import END_OF_TEXT, LONGEST, PieceCache
+from .common import batches_of, documents, shared_dir
+from .tokens import END_OF_TEXT, LONGEST, PieceCache, WordCache
 
 DICTIONARY_DOCS = 400
 DICTIONARY_CHARS = 8192
@@ -51,6 +53,10 @@ END_ID = 0
 ASCII_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""")
 #: Words within pieces that a worker holds at most.
 KNOWN_WORDS = 50_000
+#: Pieces of texts that aren't cut into words that a worker holds at most.
+ODD_PIECES = 200_000
+#: New words that one call of the library encodes.
+WORDS_AT_ONCE = 1000
 
 
 @functools.lru_cache(maxsize=2)
@@ -67,6 +73,50 @@ def id_width(path: str) -> int:
     return 2 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
+def splits_plainly(tokenizer) -> bool:
+    """Whether the tokenizer only splits texts into words, at its one added token too, and merges bytes of words."""
+    steps = json.loads(tokenizer.to_str())
+    splitter = {k: (steps["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
+    plain = splitter == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and steps["normalizer"] is None and steps["post_processor"] is None
+    return plain and steps["model"]["type"] == "BPE" and not steps["model"]["dropout"] and [x["content"] for x in steps["added_tokens"]] == [END_OF_TEXT]
+
+
+def word_ids(tokenizer, kind: str) -> Callable[[list[bytes]], list[bytes]]:
+    """The library's ids of words, many in one call: its tokenizer over the same model, which splits at line feeds.
+
+    Line feeds don't occur in the printable form of words; between two words
+    stands the token of a line feed, so that their ids can be told apart.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    by_line = Tokenizer(tokenizer.model)
+    by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    alphabet = {b: c for c, b in byte_alphabet().items()}
+    shown = "".join(alphabet[b] for b in range(256))
+    (mark,) = [t.id for t in tokenizer.model.tokenize(shown[10])]
+
+    def ids(words: list[bytes]) -> list[int]:
+        joined = f"\n{shown[10]}\n".join([codecs.charmap_decode(w, "strict", shown)[0] for w in words])
+        return by_line.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+
+    def of_words(words: list[bytes]) -> list[bytes]:
+        out = [b""] * len(words)
+        feeds = [k for k, w in enumerate(words) if b"\n" in w]
+        for k in feeds:
+            out[k] = array(kind, ids([words[k]])).tobytes()
+        others = [k for k, w in enumerate(words) if b"\n" not in w] if feeds else range(len(words))
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            part = others[at : at + WORDS_AT_ONCE]
+            found = np.array(ids([words[k] for k in part]), kind)
+            ends, whole = (np.append(np.flatnonzero(found == mark), len(found)) * found.itemsize).tolist(), found.tobytes()
+            for k, a, b in zip(part, [0, *(e + found.itemsize for e in ends)], ends, strict=False):
+                out[k] = whole[a:b]
+        return out
+
+    return of_words
+
+
 def piece_ids(tokenizer) -> Callable[[str], list[int]]:
     """The library's ids of a text without added tokens.
 
@@ -74,11 +124,9 @@ def piece_ids(tokenizer) -> Callable[[str], list[int]]:
     word by word: new pieces are many, and most of an encoding's time goes into
     offsets and masks that nothing reads.
     """
-    steps, model = json.loads(tokenizer.to_str()), tokenizer.model
-    splitter = {k: (steps["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
-    plain = splitter == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and steps["normalizer"] is None and steps["post_processor"] is None
-    if not plain or steps["model"]["type"] != "BPE" or steps["model"]["dropout"] or [x["content"] for x in steps["added_tokens"]] != [END_OF_TEXT]:
+    if not splits_plainly(tokenizer):
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    model = tokenizer.model
     shown, tokenize, known = {b: c for c, b in byte_alphabet().items()}, model.tokenize, {}
 
     def of_word(word: str) -> list[int]:
@@ -108,14 +156,16 @@ def piece_ids(tokenizer) -> Callable[[str], list[int]]:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> PieceCache:
+def encoder(path: str) -> WordCache:
     """Texts to the bytes of ids of ``id_width(path)`` bytes each, by the tokenizers library."""
     tokenizer, kind = _tokenizer(path), "H" if id_width(path) == 2 else "I"
-    of_piece = piece_ids(tokenizer)
-    return PieceCache(
+    of_piece, plain = piece_ids(tokenizer), splits_plainly(tokenizer)
+    pieces = PieceCache(
         lambda text: array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes(),
+        ODD_PIECES,
         encode_piece=lambda piece: array(kind, of_piece(piece)).tobytes(),
     )
+    return WordCache(word_ids(tokenizer, kind) if plain else None, pieces.encode)
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -178,7 +228,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
     chosen = short.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(DICTIONARY_DOCS)
     chosen = short.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("_id"), "left_semi").orderBy("doc_id", "text").limit(DICTIONARY_DOCS)
     keep, width = encoder(path), id_width(path)
-    samples = [keep.encode(r[0]) for r in chosen.select("text").collect()]
+    samples = keep.encode_column(pa.array([r[0] for r in chosen.select("text").collect()], pa.string()))
     dictionary = train_dictionary(samples)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     spark.createDataFrame([(bytearray(digest), bytearray(dictionary))], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
@@ -192,9 +242,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
         def packed():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "docs": len(held), "tokens": sum(r[1] for r in held), "image": pack_block(held, width, digest)}], schema=kinds)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = keep.encode(text.as_py() or "") + END_ID.to_bytes(width, "little")
+        for batch in batches_of(batches):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), keep.encode_column(batch.column("text"))):
+                ids += END_ID.to_bytes(width, "little")
                 frame = press.compress(ids)
                 held.append((doc_id, len(ids) // width, frame))
                 size += len(frame) + 25

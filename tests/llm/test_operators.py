@@ -661,6 +661,34 @@ def test_pieces_by_the_model():
     assert [token_files.piece_ids(Plain)(x) for x in asked[:500]] == [of_piece(x) for x in asked[:500]]
 
 
+def test_words_of_columns():
+    """Columns are cut into the words of the splitting pattern, and each distinct word is asked for once."""
+    import random
+
+    import pyarrow as pa
+    from scriptorium.llm import tokens
+
+    path, rng, asked = bpe_automaton.vocabulary_path(), random.Random(5), []
+    tokenizer, encoder = token_files._tokenizer(path), token_files.encoder(path)
+    plain = ["ab", "AZ", "019", " ", " ", "\n", "\t", "\r", "\x0b", "'s", "'ll", "'re", "'d", "'v", "'", "ve", ".,", "###", "éèß", "ĀſŒ", "—“’"]
+    odd = ["×÷", "½ª", "中", "\x1c", "\x85\xa0", "<|endoftext|>"]
+    given = ["".join(rng.choice(kinds) * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(12))) for kinds in [plain, plain + odd] for _ in range(5000)] + [None, "", None]
+    want = [[*x.ids] for x in tokenizer.encode_batch([t or "" for t in given], add_special_tokens=False)]
+    cache = tokens.WordCache(lambda words: asked.extend(words) or encoder.encode_words(words), encoder.odd, most=300)
+    for column in [pa.array(given), pa.array(given).slice(4990, 40)]:
+        found = [np.frombuffer(x, "<u2").tolist() for at in range(0, len(column), 97) for x in encoder.encode_column(column.slice(at, 97))]
+        assert found == want[: len(found)] if len(column) > 40 else found == want[4990:5030]
+        assert [np.frombuffer(x, "<u2").tolist() for x in cache.encode_column(column)] == found
+    del asked[:]
+    texts = ["one two, three.", "One\ntwo three, one two."]
+    cache.encode_column(pa.array(texts))
+    words = ["one", " two", ",", " three", ".", "One", "\n", "two", " one"]
+    assert len(asked) == len(set(asked)) and {*asked} <= {w.encode() for w in words} and len(asked) > 4
+    assert [tokens.word_starts(*common.text_buffer(pa.array([t]))).tolist() for t in texts] == [[0, 3, 7, 8, 14], [0, 3, 4, 7, 13, 14, 18, 22]]
+    cache.encode_column(pa.array(texts))
+    assert len(asked) == len(set(asked))
+
+
 def test_similar_documents_by_fuzzy_hashing(spark, monkeypatch):
     """Without its exact completion the stage finds the similar texts whose fingerprints Golay keys link."""
     rng = np.random.default_rng(7)
