@@ -30,13 +30,14 @@ import hashlib
 import json
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, documents
-from .tokens import END_OF_TEXT, PieceCache
+from .tokens import END_OF_TEXT, PieceCache, WordCache
 
 #: The pattern that splits text before merges, as the tokenizers library's byte-level splitter has it.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -46,8 +47,8 @@ NEVER = 1 << 60
 ARCS = 100_000
 #: Bytes of the beginnings of words whose arcs are held, and how many of these (some 10 MB).
 HEAD, HEADS = 5, 20_000
-#: Encoded pieces that a worker holds at most, and as many older ones.
-KEPT = 150_000
+#: Encoded words that a worker holds at most, and as many older ones; pieces of texts that aren't cut into words among them.
+KEPT, ODD_KEPT = 150_000, 30_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -189,9 +190,12 @@ def automaton(path: str) -> BpeAutomaton:
 
 
 @functools.lru_cache(maxsize=1)
-def kept_pieces(path: str) -> tuple[PieceCache, BpeAutomaton]:
+def kept_pieces(path: str) -> tuple[WordCache, BpeAutomaton]:
     auto = automaton(path)
-    return PieceCache(lambda text: array("i", auto.encode(text)).tobytes(), KEPT), auto
+    pieces = PieceCache(lambda text: array("i", auto.encode(text)).tobytes(), ODD_KEPT)
+    split = set(auto.special) <= {END_OF_TEXT}
+    words = lambda new: [array("i", auto.encode_word(w)).tobytes() for w in new]
+    return WordCache(words if split else None, pieces.encode, KEPT - ODD_KEPT), auto
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -212,18 +216,23 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
 
     def run(batches):
         cache, auto = kept_pieces(path or vocabulary_path())
-        shown = [str(i).encode() for i in range(max(auto.labels) + 1)].__getitem__
-        label = [auto.labels.get(i, b"") for i in range(max(auto.labels) + 1)].__getitem__
+        shown = pa.array([b"%d," % i for i in range(max(auto.labels) + 1)], pa.large_binary())
+        label = pa.array([auto.labels.get(i, b"") for i in range(max(auto.labels) + 1)], pa.large_binary())
 
-        def row(text):
-            ids = array("i", cache.encode(text))
-            decoded = b"".join(map(label, ids)).decode("utf-8", "replace").encode()
-            return len(ids), hashlib.sha256(b",".join(map(shown, ids))).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
+        def joined(table, ids, bounds):
+            """What ``table`` has for the ids of each document, one after the other."""
+            found = table.take(ids)
+            at, whole = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[bounds].tolist(), memoryview(found.buffers()[2] or b"")
+            return [bytes(whole[a:b]) for a, b in zip(at, at[1:])]
 
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
         for batch in batches_of(batches):
-            rows = [row(t.as_py() or "") for t in batch.column("text")]
-            columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(4 if keep_ids else 3)]
+            encoded = cache.encode_column(batch.column("text"))
+            bounds = np.cumsum([0, *map(len, encoded)]) // 4
+            ids = pa.array(np.frombuffer(b"".join(encoded), np.int32))
+            decoded = [x.decode("utf-8", "replace").encode() for x in joined(label, ids, bounds)]
+            columns = [pa.array(np.diff(bounds)), pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in joined(shown, ids, bounds)]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 1 + len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

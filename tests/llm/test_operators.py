@@ -689,6 +689,22 @@ def test_words_of_columns():
     assert len(asked) == len(set(asked))
 
 
+def test_automaton_reads_words_of_columns(spark, monkeypatch):
+    """The automaton is asked once for each distinct word of a column; empty texts alone make rows too."""
+    import pyarrow as pa
+
+    cache, auto = bpe_automaton.kept_pieces(bpe_automaton.vocabulary_path())
+    asked, step = [], auto.encode_word
+    monkeypatch.setattr(auto, "encode_word", lambda word: asked.append(word) or step(word))
+    given = ["qzaxle qzbrim, qzcove.\nqzbrim qzcove;", None, "qzbrim: qzcove! qzaxle's", "", "中 qzcove ×"]
+    found = [np.frombuffer(x, np.int32).tolist() for x in cache.encode_column(pa.array(given))]
+    assert found == [ids_of(t or "") for t in given]
+    assert sum(b"qzcove" in w for w in asked) == 2 and sum(b"qzbrim" in w for w in asked) == 2
+    monkeypatch.undo()
+    empty = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string").coalesce(1)
+    assert rows(bpe_automaton.encode_documents(empty, keep_ids=True)) == [(i, 0, sha(""), sha(""), []) for i in (1, 2, 2)]
+
+
 def test_similar_documents_by_fuzzy_hashing(spark, monkeypatch):
     """Without its exact completion the stage finds the similar texts whose fingerprints Golay keys link."""
     rng = np.random.default_rng(7)
